@@ -149,9 +149,9 @@ ROLE_QUESTION = {
 
 # --- cue words of the lexical judge, first rule that fits ---------------------------------------
 LEXICAL_CUES = [
-    ("qualification", r"\b(?:unless|except|however|only if|limit)"),
-    ("counterpoint", r"\b(?:but|although|on the other hand)\b"),
-    ("reasoning", r"\b(?:because|therefore|since)\b"),
-    ("evidence", r"[0-9]|\b(?:for example|data|study)\b"),
+    ("qualification", r"(?:^|[^\p{L}\p{N}])(?:unless|except|however|only if|limit)"),
+    ("counterpoint", r"(?:^|[^\p{L}\p{N}])(?:but|although|on the other hand)(?:$|[^\p{L}\p{N}])"),
+    ("reasoning", r"(?:^|[^\p{L}\p{N}])(?:because|therefore|since)(?:$|[^\p{L}\p{N}])"),
+    ("evidence", r"[0-9]|(?:^|[^\p{L}\p{N}])(?:for example|data|study)(?:$|[^\p{L}\p{N}])"),
 ]
 LEXICAL_DIRECT = 0.8

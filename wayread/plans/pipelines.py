@@ -1,0 +1,102 @@
+"""Whole runs: items of documents, judged, then read as matches or as reading paths."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from typing import Any
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wayread.constants import DEFAULT_MODEL, DEFAULT_THRESHOLD, DIGEST_WINDOW
+from wayread.operators import judge as J
+from wayread.operators.blocks import html_blocks
+from wayread.operators.digest import reading_path, select_digest, signal_stats
+from wayread.operators.find import find_matches
+from wayread.operators.passages import passages_text, passages_web
+from wayread.plans.lineage import settled
+from wayread.sources.readers import read_judgments
+from wayread.sources.sinks import write_judgments
+
+Judge = str | Callable[[str], dict[str, Any]]
+
+
+def judge(
+    items: DataFrame, runs: DataFrame, questions: DataFrame, backend: Judge = "lexical",
+    judgments: DataFrame | None = None, mode: str = "digest", size: int = DIGEST_WINDOW,
+    concurrency: int | None = None, on_error: str = "fail", on_missing: str = "fail", store: str | None = None,
+    model: str = DEFAULT_MODEL,
+) -> DataFrame:
+    """Items of every run with ``p`` and, for passages, ``role, role_p, confidence``.
+
+    ``backend`` is ``'table'`` (recorded ``judgments``), ``'lexical'`` (built in) or a function that answers
+    one request. With a ``store`` only requests without a stored answer are put to the function and the new
+    answers are added to it; without one the answers are checkpointed. Either way no request is asked twice
+    when results are read again or an executor is lost.
+    """
+    if backend == "table":
+        if judgments is None:
+            raise ValueError("backend 'table' needs judgments")
+        return J.judge_from_table(items, runs, judgments)
+    if backend == "lexical":
+        return J.judge_lexically(items, runs, questions)
+    if not callable(backend):
+        raise ValueError("backend must be 'table', 'lexical' or a function")
+
+    asked = items.join(runs.select("doc_id", "question_id"), "doc_id")
+    make = J.find_requests if mode == "find" else J.digest_requests
+    requests = make(J.make_windows(asked, size), questions, model)
+    keys = settled(requests.select("request_key", "doc_id", "question_id", "window_no", "n_items"))
+    answers = answer(requests, backend, store, concurrency, on_error)
+    parsed = J.parse_answers(keys, answers, mode, size, on_missing, hot_rows=200_000)
+    return asked.join(parsed, ["doc_id", "question_id", "idx"], "left")
+
+
+def answer(
+    requests: DataFrame, fn: Callable[[str], dict[str, Any]], store: str | None = None,
+    concurrency: int | None = None, on_error: str = "fail",
+) -> DataFrame:
+    """Answers for all requests, from the store where it has them."""
+    spark = requests.sparkSession
+    if store is None:
+        once = J.new_requests(requests, spark.createDataFrame([], "request_key string"))
+        return settled(J.call_judge(once, fn, concurrency, on_error))
+    fresh = J.new_requests(requests, read_judgments(spark, store))
+    write_judgments(J.call_judge(fresh, fn, concurrency, on_error), store)
+    return J.latest_answers(read_judgments(spark, store))
+
+
+def digest_documents(
+    documents: DataFrame, runs: DataFrame, questions: DataFrame, threshold: float = DEFAULT_THRESHOLD,
+    backend: Judge = "lexical", **options: Any,
+) -> DataFrame:
+    """Reading paths of text documents."""
+    judged = judge(passages_text(documents), runs, questions, backend, **options)
+    return reading_path(select_digest(judged, threshold))
+
+
+def digest_pages(
+    pages: DataFrame, runs: DataFrame, questions: DataFrame, threshold: float = DEFAULT_THRESHOLD,
+    backend: Judge = "lexical", **options: Any,
+) -> tuple[DataFrame, DataFrame]:
+    """Reading paths and signal of web pages; runs name pages by ``doc_id``."""
+    passages = passages_web(html_blocks(pages)).withColumnRenamed("page_id", "doc_id")
+    judged = judge(passages, runs, questions, backend, **options)
+    return reading_path(select_digest(judged, threshold)), signal_stats(judged, threshold)
+
+
+def find_in(
+    items: DataFrame, runs: DataFrame, questions: DataFrame, threshold: float = DEFAULT_THRESHOLD,
+    backend: Judge = "lexical", **options: Any,
+) -> DataFrame:
+    """Matches among sentences or turns, with tier and literal flag."""
+    judged = judge(items, runs, questions, backend, **{"mode": "find", **options})
+    return find_matches(J.lookup_join(judged, questions.select("question_id", "question"), "question_id"), "question", threshold)
+
+
+def usage_of(requests: DataFrame, answers: DataFrame) -> DataFrame:
+    """Token use per run; an answer shared by copies counts for every window it answers."""
+    calls = requests.select("request_key", "doc_id", "question_id", "window_no").join(
+        answers.select("request_key", "input_tokens", "output_tokens", "model"), "request_key", "left"
+    )
+    return J.usage_totals(calls.where(F.col("model").isNotNull() | F.col("input_tokens").isNotNull()))
