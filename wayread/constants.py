@@ -73,8 +73,8 @@ HIDDEN_TAGS = ["select", "svg", "canvas", "code", "kbd", "template", "head", "bu
 # --- whitespace (the Unicode White_Space property), written for Java and RE2 alike ------------
 WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NOT_WS = "[^" + WS[1:]
-# whitespace that does not end a line, and characters that do
-WS_INLINE = r"[\t \x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
+WS_CHARS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+# characters that end a line
 LINE_END = r"[\n-\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 
 # --- sentences ------------------------------------------------------------------------------

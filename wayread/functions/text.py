@@ -13,27 +13,34 @@ from wayread.constants import (
     ABBREVIATIONS,
     CLOSERS,
     EXCERPT_LEN,
-    LINE_END,
     MAX_PASSAGE_LEN,
     MAX_SENTENCE_LEN,
-    NOT_WS,
     OPENERS,
     SITE_SUFFIX,
     STOPS,
-    WS,
-    WS_INLINE,
+    WS_CHARS,
 )
 from wayread.functions.arrays import let, prefix_sums
 
 
+# The same characters as ``constants.WS``, as the property that Java tests fastest.
+_WS = r"\p{IsWhite_Space}"
+# ``constants.LINE_END`` and the other whitespace, with the quick test for whitespace in front.
+_LINE_END = r"[\x{1c}-\x{1e}[\p{IsWhite_Space}&&[\n-\r\x{85}\x{2028}\x{2029}]]]"
+_INLINE = r"[\p{IsWhite_Space}&&[^\n-\r\x{85}\x{2028}\x{2029}]]"
+
+
 def clean_text(c: Column) -> Column:
     """Collapse runs of Unicode whitespace to one space and trim."""
-    return F.trim(F.regexp_replace(c, WS + "+", " "))
+    return F.trim(F.regexp_replace(c, _WS + "+", " "))
 
 
 def word_count(c: Column) -> Column:
-    """Number of whitespace-separated words."""
-    return F.regexp_count(c, F.lit(NOT_WS + "+"))
+    """Number of whitespace-separated words: one more than the spaces of the cleaned text."""
+    return let(
+        clean_text(c),
+        lambda t: F.when(t == "", F.lit(0)).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1),
+    )
 
 
 def rfind(c: Column, limit: int) -> Column:
@@ -78,20 +85,20 @@ def trim_span(c: Column, s: Column, e: Column) -> Column:
     """Shrink ``[s, e)`` of ``c`` over whitespace at both ends."""
 
     def shrink(part: Column) -> Column:
-        lead = F.length(part) - F.length(F.regexp_replace(part, "^" + WS + "+", ""))
-        tail = F.length(part) - F.length(F.regexp_replace(part, WS + r"+\z", ""))
+        lead = F.length(part) - F.length(F.ltrim(part, F.lit(WS_CHARS)))
+        tail = F.length(part) - F.length(F.rtrim(part, F.lit(WS_CHARS)))
         start = s + lead
         return F.struct(start.alias("s"), F.greatest(start, e - tail).alias("e"))
 
     return let(F.substring(c, s + 1, e - s), shrink)
 
 
-# A sentence runs lazily up to a boundary. The first look-behind keeps abbreviations together, the
-# second makes a run of stops count once, from its first character.
+# A sentence takes everything up to a boundary: text without stops, and runs of stops that are no boundary.
+# A run of stops is always entered at its first character. The look-behind keeps abbreviations together.
 _BOUNDARY = (
-    rf"(?<!(?:^|[(]|{WS})(?:{ABBREVIATIONS}))(?<![{STOPS}])[{STOPS}]++[{CLOSERS}]*+{WS}++(?=[{OPENERS}])"
+    rf"(?<!(?:^|[(]|{_WS})(?:{ABBREVIATIONS}))[{STOPS}]++[{CLOSERS}]*+{_WS}++(?=[{OPENERS}])"
 )
-_SENTENCE = rf"(?s).*?(?:{_BOUNDARY}|\z)"
+_SENTENCE = rf"(?:[^{STOPS}]++|(?!{_BOUNDARY})[{STOPS}]++)*+(?:{_BOUNDARY}|\z)"
 # An over-long sentence is cut before the last space that leaves more than half, else at the limit.
 _HARD_CUT = (
     rf"(?s)(?=.{{{MAX_SENTENCE_LEN + 1}}})"
@@ -116,8 +123,8 @@ def sentence_parts(c: Column) -> Column:
 
     def place(raw: Column, start: Column) -> Column:
         n = F.length(raw)
-        lead = n - F.length(F.regexp_replace(raw, "^" + WS + "+", ""))
-        tail = n - F.length(F.regexp_replace(raw, WS + r"+\z", ""))
+        lead = n - F.length(F.ltrim(raw, F.lit(WS_CHARS)))
+        tail = n - F.length(F.rtrim(raw, F.lit(WS_CHARS)))
         return F.struct(
             (start + lead).alias("s"), (start + n - tail).alias("e"), raw.alias("raw"), clean_text(raw).alias("clean")
         )
@@ -137,7 +144,7 @@ def split_long(c: Column, limit: int = MAX_PASSAGE_LEN) -> Column:
     A line that is too long is cut at the last space before the limit, or at the limit itself when that
     space would leave half a piece or less.
     """
-    lined = F.regexp_replace(F.regexp_replace(c, WS_INLINE + "+", " "), rf" ?{LINE_END}(?: |{LINE_END})*+", "\n")
+    lined = F.regexp_replace(F.regexp_replace(c, _INLINE + "+", " "), rf" ?+{_LINE_END}(?:{_LINE_END}| )*+", "\n")
     piece = (
         rf"[ \n]?((?=[^\n]{{{limit + 1}}})(?:[^\n]{{{limit // 2 + 1},{limit - 1}}}(?= )|[^\n]{{{limit}}})|[^\n]+)"
     )

@@ -20,6 +20,7 @@ from wayread.constants import (
     REPEAT_MAX_LEN,
     REPEAT_MIN_PAGES,
     ROW_HEIGHT,
+    WS_CHARS,
 )
 from wayread.functions.html import (
     ARIA_HIDDEN,
@@ -46,30 +47,25 @@ def html_tokens(pages: DataFrame, doc: str = "page_id", html: str = "html") -> D
     a hidden region. Skipped elements with raw text are one token and never become rows.
     """
     structural = [*LEAF_BLOCK_TAGS, *NEST_BLOCK_TAGS, *HIDDEN_TAGS]
-    token = F.col("token")
-    named = (
-        pages.select(doc, F.contains(F.col(html), F.lit("aria-hidden")).alias("hiding"), F.posexplode(tokens(F.col(html))).alias("pos", "token"))
-        .withColumn("is_tag", token.rlike("^</?[a-zA-Z]"))
-        .where(F.col("is_tag") | ~token.rlike("^<[!?/]"))
-        .withColumn("name", F.when(F.col("is_tag"), tag_name(token)))
-        .where(
-            F.col("name").isNull()
-            | F.col("name").isin(structural)
-            | (F.col("hiding") & ~F.col("name").isin(RAW_TEXT_TAGS))
-        )
-        .withColumn("opens", F.col("is_tag") & ~token.startswith("</"))
-    )
-    closed_at_once = F.col("opens") & token.rlike(r"/>$") & ~F.col("name").isin([*LEAF_BLOCK_TAGS, *NEST_BLOCK_TAGS])
-    return (
-        named.withColumns(
-            {
-                "hides": F.col("opens") & (F.col("name").isin(HIDDEN_TAGS) | token.rlike(ARIA_HIDDEN)),
-                "text": F.when(~F.col("is_tag"), decode_entities(token)),
-            }
-        )
-        .where(F.col("is_tag") | (clean_text(F.col("text")) != ""))
-        .where(~closed_at_once)
-        .select(doc, "pos", "name", "opens", "hides", "text")
+    hiding = F.contains(F.col(html), F.lit("aria-hidden"))
+
+    def named(token: Column) -> Column:
+        name = F.when(token.startswith("<") & (token != "<"), tag_name(token))
+        return F.struct(token.alias("token"), name.alias("name"))
+
+    def useful(x: Column) -> Column:
+        is_text = x["name"].isNull() & (F.ltrim(x["token"], F.lit(WS_CHARS)) != "")
+        return is_text | x["name"].isin(structural) | (hiding & (x["name"] != "") & ~x["name"].isin(RAW_TEXT_TAGS))
+
+    kept = F.filter(F.transform(tokens(F.col(html)), named), useful)
+    rows = pages.select(doc, F.posexplode(kept).alias("pos", "x")).select(doc, "pos", "x.token", "x.name")
+    token, name = F.col("token"), F.col("name")
+    opens = name.isNotNull() & ~token.startswith("</")
+    closed_at_once = opens & token.endswith("/>") & ~name.isin([*LEAF_BLOCK_TAGS, *NEST_BLOCK_TAGS])
+    return rows.where(~closed_at_once | name.isNull()).select(
+        doc, "pos", "name", opens.alias("opens"),
+        (opens & (name.isin(HIDDEN_TAGS) | token.rlike(ARIA_HIDDEN))).alias("hides"),
+        F.when(name.isNull(), decode_entities(token)).alias("text"),
     )
 
 
@@ -135,11 +131,11 @@ def html_blocks(pages: DataFrame, doc: str = "page_id", html: str = "html") -> D
     texts = (
         placed.withColumn("around", closed)
         .withColumn("inner", unclosed)
-        .where(F.col("text").isNotNull())
+        .where(clean_text(F.col("text")) != "")
         .withColumn("block", block)
     )
     grouped = texts.groupBy(doc, F.col("block.id").alias("block_id"), F.col("block.tag").alias("tag")).agg(
-        F.min("pos").alias("first"), F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("parts")
+        F.min("pos").alias("first"), F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("parts")
     )
     return grouped.select(
         doc, "block_id",

@@ -178,7 +178,7 @@ def reading_path(selected: DataFrame, group: Sequence[str] = GROUP) -> DataFrame
 
 def digest_summary(path: DataFrame, signal: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
     """Selected count, distinct labels in path order and signal per cent, for every judged group."""
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "label")))
+    ordered = F.sort_array(F.collect_list(F.struct("ord", "label")))
     per_path = path.groupBy(*group).agg(
         F.count("*").alias("n_selected"),
         F.array_distinct(F.transform(ordered, lambda x: x["label"])).alias("labels"),

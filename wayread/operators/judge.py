@@ -118,7 +118,7 @@ def _requests(
     windows: DataFrame, questions: DataFrame, line: Column, mode: str, prefix: str, asked: dict[str, dict],
     names: tuple[str, str], model: str,
 ) -> DataFrame:
-    lines = F.array_sort(F.collect_list(F.struct("pos", line.alias("line"))))
+    lines = F.sort_array(F.collect_list(F.struct("pos", line.alias("line"))))
     grouped = windows.groupBy("doc_id", "question_id", "window_no").agg(
         F.count("*").cast("int").alias("n_items"),
         F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("passage"),
@@ -286,7 +286,7 @@ def question_weights(items: DataFrame, questions: DataFrame) -> DataFrame:
     vocabulary = asked.select("term").distinct().join(frequency, "term", "left").withColumn(
         "idf", F.log(F.lit(1.0) + n_items / F.coalesce("df", F.lit(1)))
     )
-    weights = F.array_sort(F.collect_list(F.struct("term", "idf")))
+    weights = F.sort_array(F.collect_list(F.struct("term", "idf")))
     return (
         lookup_join(asked, vocabulary, "term")
         .groupBy("question_id")

@@ -60,7 +60,7 @@ def manifest(
         )
         fields.append(quads.alias("quads"))
     key = ["doc_id", "question_id"]
-    nested = path.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("passages"))
+    nested = path.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("passages"))
     settings = F.struct(*[F.lit(v).alias(k) for k, v in config.items()])
     tokens = F.struct(
         F.coalesce("input_tokens", F.lit(0)).alias("input_tokens"),
@@ -111,7 +111,7 @@ def annotation_plan(path: DataFrame, tool: str = "reading-path") -> DataFrame:
         "doc_id", "question_id", "ord", title.alias("title"), note.alias("content"),
         F.posexplode("quads").alias("at", "box"),
     ).where(F.col("box.quad").isNotNull())
-    in_order = F.array_sort(F.collect_list(F.struct("at", "box.quad")))
+    in_order = F.sort_array(F.collect_list(F.struct("at", "box.quad")))
     return boxes.groupBy("doc_id", "question_id", F.col("box.page").alias("page"), "ord", "title", "content").agg(
         F.transform(in_order, lambda x: x["quad"]).alias("quads")
     )
