@@ -15,14 +15,26 @@ CALLS_SCHEMA = (
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input with fewer splits than the cluster has cores.
+
+    Text is cut where it is read. A file that is one row group would keep one core busy and all others idle.
+    Large inputs have many more splits than cores and are left where they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(2 * cores)
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Web pages: ``(page_id, url, html)``."""
-    return spark.read.parquet(path).select("page_id", "url", "html")
+    return spread(spark.read.parquet(path).select("page_id", "url", "html"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Text documents: ``(doc_id, text)``."""
-    return spark.read.parquet(path).select("doc_id", "text")
+    return spread(spark.read.parquet(path).select("doc_id", "text"))
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -33,7 +45,7 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_binary_files(spark: SparkSession, path: str) -> DataFrame:
     """Whole files for their identity: ``(doc_id, path, content)``."""
-    files = spark.read.format("binaryFile").load(path)
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"), "content")
     return files.select(F.xxhash64("path").alias("doc_id"), "path", "content")
 
 
