@@ -163,14 +163,14 @@ def page_headline(pages: DataFrame, doc: str = "page_id", html: str = "html") ->
 # --------------------------------------------------------------------------- laid-out documents
 
 
-def line_texts(lines: Column) -> Column:
-    """Lines with cleaned text; empty lines are dropped."""
-    cleaned = F.transform(lines, lambda x: x.withField("text", clean_text(x["text"])))
-    return F.filter(cleaned, lambda x: x["text"] != "")
+def filled_lines(lines: Column) -> Column:
+    """Lines that have text."""
+    return F.filter(lines, lambda x: F.ltrim(x["text"], F.lit(WS_CHARS)) != "")
 
 
 def block_text(lines: Column) -> Column:
-    return clean_text(F.array_join(F.transform(lines, lambda x: x["text"]), " "))
+    """Cleaned text of all lines. Empty lines vanish with the whitespace around them."""
+    return clean_text(F.array_join(lines["text"], " "))
 
 
 def page_band(y0: Column, y1: Column, page_y0: Column, page_y1: Column, share: float = BAND_SHARE) -> Column:
@@ -183,17 +183,13 @@ def page_band(y0: Column, y1: Column, page_y0: Column, page_y1: Column, share: f
 
 def layout_texts(layout: DataFrame) -> DataFrame:
     """Layout blocks with text, band and centre; blocks without text are dropped."""
-    return (
-        layout.withColumn("lines", line_texts(F.col("lines")))
-        .withColumns(
-            {
-                "text": block_text(F.col("lines")),
-                "band": page_band(F.col("y0"), F.col("y1"), F.col("page_y0"), F.col("page_y1")),
-                "center_x": (F.col("x0") + F.col("x1")) / 2,
-            }
-        )
-        .where(F.col("text") != "")
-    )
+    return layout.withColumns(
+        {
+            "text": block_text(F.col("lines")),
+            "band": page_band(F.col("y0"), F.col("y1"), F.col("page_y0"), F.col("page_y1")),
+            "center_x": (F.col("x0") + F.col("x1")) / 2,
+        }
+    ).where(F.col("text") != "")
 
 
 def _page_window(doc: str) -> Window:
@@ -229,46 +225,69 @@ def reading_order(layout: DataFrame, doc: str = "doc_id") -> DataFrame:
     )
 
 
-def repeated_texts(layout: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Short texts on three or more pages of a document: ``(doc, text, n_blocks, n_pages)``.
+def _short_texts(layout: DataFrame, doc: str) -> DataFrame:
+    """Short texts per page: ``(doc, text, page, n, n_band)``. Repeats on a page merge before the shuffle."""
+    short = layout.where(F.length("text") <= REPEAT_MAX_LEN)
+    return short.groupBy(doc, "text", "page").agg(
+        F.count("*").alias("n"), F.count_if(F.col("band") != "").alias("n_band")
+    )
 
-    Blocks are counted per page first, which merges repeats before the shuffle.
-    """
-    short = layout.where(F.length("text") <= REPEAT_MAX_LEN).select(doc, "text", "page")
-    per_page = short.groupBy(doc, "text", "page").agg(F.count("*").alias("n"))
+
+def repeated_texts(layout: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Short texts on three or more pages of a document: ``(doc, text, n_blocks, n_pages)``."""
     return (
-        per_page.groupBy(doc, "text")
+        _short_texts(layout, doc)
+        .groupBy(doc, "text")
         .agg(F.sum("n").alias("n_blocks"), F.count("*").alias("n_pages"))
         .where(F.col("n_pages") >= REPEAT_MIN_PAGES)
     )
 
 
-def repeated_blocks(layout: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Running headers and footers: repeated texts inside a band, as ``(doc, page, number)``."""
-    in_band = layout.where((F.col("band") != "") & (F.length("text") <= REPEAT_MAX_LEN))
-    return in_band.select(doc, "page", "number", "text").join(
-        repeated_texts(layout, doc).select(doc, "text"), [doc, "text"], "left_semi"
-    ).select(doc, "page", "number")
+def _repeats_by_page(layout: DataFrame, doc: str) -> DataFrame:
+    """Running headers and footers of each page: ``(doc, page, repeats, n_long)``.
 
+    ``n_long`` counts those blocks among them that are long enough to be passages. Both sides of the join
+    come from one aggregation, which Spark computes once.
+    """
+    texts = _short_texts(layout, doc).select(doc, "text", "page", "n_band")
+    repeated = (
+        texts.groupBy(doc, "text")
+        .agg(F.count("*").alias("n_pages"), F.sum("n_band").alias("n_band"))
+        .where((F.col("n_pages") >= REPEAT_MIN_PAGES) & (F.col("n_band") > 0))
+    )
+    in_band = texts.where(F.col("n_band") > 0).join(repeated.select(doc, "text"), [doc, "text"], "left_semi")
+    long_ones = F.sum(F.when(F.length("text") >= MIN_PASSAGE_LEN, F.col("n_band")).otherwise(0))
+    return in_band.groupBy(doc, "page").agg(F.collect_set("text").alias("repeats"), long_ones.alias("n_long"))
+
+
+def _mark_repeated(blocks: DataFrame, repeats: DataFrame, doc: str) -> DataFrame:
+    """Adds ``is_repeat``. The join is on the page, by which the blocks are partitioned for windows anyway."""
+    hit = (F.col("band") != "") & F.array_contains("repeats", F.col("text"))
+    return (
+        blocks.join(repeats.select(doc, "page", "repeats"), [doc, "page"], "left")
+        .withColumn("is_repeat", F.coalesce(hit, F.lit(False)))
+        .drop("repeats")
+    )
 
-def _mark_repeated(blocks: DataFrame, layout: DataFrame, doc: str) -> DataFrame:
-    """Adds ``is_repeat``. Only keys of repeated blocks are shuffled; the blocks stay on their page."""
-    per_page = repeated_blocks(layout, doc).groupBy(doc, "page").agg(F.collect_set("number").alias("repeats"))
-    return blocks.join(per_page, [doc, "page"], "left").withColumn(
-        "is_repeat", F.coalesce(F.array_contains("repeats", F.col("number")), F.lit(False))
-    ).drop("repeats")
+
+def repeated_blocks(layout: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Running headers and footers: repeated texts inside a band, as ``(doc, page, number)``."""
+    return (
+        _mark_repeated(layout, _repeats_by_page(layout, doc), doc).where("is_repeat").select(doc, "page", "number")
+    )
 
 
 def drop_repeated(layout: DataFrame, doc: str = "doc_id") -> DataFrame:
-    return _mark_repeated(layout, layout, doc).where(~F.col("is_repeat")).drop("is_repeat")
+    return _mark_repeated(layout, _repeats_by_page(layout, doc), doc).where(~F.col("is_repeat")).drop("is_repeat")
 
 
 def attach_heading_layout(layout: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Adds ``heading``: the block right before on the same page, if it is short and larger or bolder."""
     order = _page_window(doc)
-    size = F.array_max(F.transform("lines", lambda x: x["size"]))
-    bold = F.exists("lines", lambda x: x["bold"])
-    styled = layout.withColumns({"size": size, "bold": bold})
+    filled = layout.withColumn("filled", filled_lines(F.col("lines")))
+    styled = filled.withColumns(
+        {"size": F.array_max(F.col("filled")["size"]), "bold": F.array_contains(F.col("filled")["bold"], True)}
+    ).drop("filled")
     text, prev_size, prev_bold = (F.lag(c).over(order) for c in ("text", "size", "bold"))
     compared = styled.withColumns({"prev_text": text, "prev_size": prev_size, "prev_bold": prev_bold})
     own_size = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(F.col("size"))
@@ -290,17 +309,21 @@ def passages_layout(layout: DataFrame, doc: str = "doc_id") -> DataFrame:
     long_enough = F.length("text") >= MIN_PASSAGE_LEN
     pieces = F.filter(split_long(F.col("text")), lambda t: F.length(t) >= MIN_PASSAGE_LEN)
 
-    # pieces per page, from narrow rows: the blocks themselves are shuffled once, below
-    sizes = texts.where(long_enough).select(doc, "page", "number", F.size(pieces).alias("n"))
+    # Pieces per page, from partial sums of narrow rows. A repeated block has one piece if it is long enough.
+    repeats = _repeats_by_page(texts, doc)
     counts = (
-        _mark_repeated(sizes, texts, doc).where(~F.col("is_repeat")).groupBy(doc, "page").agg(F.sum("n").alias("n"))
+        texts.where(long_enough)
+        .groupBy(doc, "page")
+        .agg(F.sum(F.size(pieces)).alias("n"))
+        .join(repeats.select(doc, "page", "n_long"), [doc, "page"], "left")
+        .select(doc, "page", (F.col("n") - F.coalesce("n_long", F.lit(0))).alias("n"))
     )
     offsets = page_offsets(counts, doc)
 
     numbered = attach_heading_layout(texts, doc).withColumn("page_no", F.row_number().over(_page_window(doc)))
-    body = _mark_repeated(numbered, texts, doc).where(~F.col("is_repeat") & long_enough)
+    body = _mark_repeated(numbered, repeats, doc).where(~F.col("is_repeat") & long_enough)
     boxes = F.transform(
-        F.filter("lines", lambda x: x["quad"].isNotNull()),
+        F.filter(filled_lines(F.col("lines")), lambda x: x["quad"].isNotNull()),
         lambda x: F.struct(F.col("page").alias("page"), x["quad"].alias("quad")),
     )
     items = body.select(

@@ -27,7 +27,6 @@ from wayread.constants import (
     NEEDED_QUESTION,
     ROLE_QUESTION,
 )
-from wayread.functions.arrays import let
 from wayread.functions.scoring import as_float, known_role
 from wayread.functions.text import item_id
 from wayread.operators.joins import hot_key_join, lookup_join
@@ -269,7 +268,7 @@ def judge_from_table(items: DataFrame, runs: DataFrame, judgments: DataFrame) ->
 
 def terms(text: Column) -> Column:
     """Distinct lower-case words of a text."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]++"), F.lit(0)))
 
 
 def question_weights(items: DataFrame, questions: DataFrame) -> DataFrame:
@@ -291,7 +290,11 @@ def question_weights(items: DataFrame, questions: DataFrame) -> DataFrame:
         lookup_join(asked, vocabulary, "term")
         .groupBy("question_id")
         .agg(weights.alias("weights"))
-        .withColumn("total", F.aggregate("weights", F.lit(0.0), lambda a, w: a + w["idf"]))
+        .select(
+            "question_id",
+            F.map_from_entries("weights").alias("weights"),
+            F.aggregate("weights", F.lit(0.0), lambda a, w: a + w["idf"]).alias("total"),
+        )
     )
 
 
@@ -301,27 +304,24 @@ def judge_lexically(items: DataFrame, runs: DataFrame, questions: DataFrame) ->
         items.join(runs.select("doc_id", "question_id"), "doc_id"), question_weights(items, questions),
         "question_id", how="left",
     )
-    found = let(
-        terms(F.col("text")),
-        lambda own: F.aggregate(
-            F.filter("weights", lambda w: F.array_contains(own, w["term"])), F.lit(0.0), lambda a, w: a + w["idf"]
-        ),
-    )
+    shared = F.array_intersect(F.map_keys("weights"), terms(F.col("text")))
+    found = F.aggregate(shared, F.lit(0.0), lambda a, t: a + F.element_at("weights", t))
     p = F.when(F.col("total") > 0, F.round(found / F.col("total"), 6)).otherwise(F.lit(0.0))
-    lowered = F.lower("text")
-    role = F.when(F.col("p") == 0, F.lit(IRRELEVANT))
-    cued = F.lit(False)
+    cue = F.when(F.col("p") == 0, F.lit(None).cast("string"))
     for name, pattern in LEXICAL_CUES:
-        hit = lowered.rlike(pattern)
-        role = role.when(hit, F.lit(name))
-        cued = cued | hit
-    role = role.when(F.col("p") >= LEXICAL_DIRECT, F.lit("direct_answer")).otherwise(F.lit("background"))
-    role_p = F.when((F.col("p") > 0) & cued, F.lit(1.0)).otherwise(F.col("p"))
+        cue = cue.when(F.col("lowered").rlike(pattern), F.lit(name))
+    role = (
+        F.when(F.col("p") == 0, F.lit(IRRELEVANT))
+        .when(F.col("cue").isNotNull(), F.col("cue"))
+        .when(F.col("p") >= LEXICAL_DIRECT, F.lit("direct_answer"))
+        .otherwise(F.lit("background"))
+    )
+    role_p = F.when(F.col("cue").isNotNull(), F.lit(1.0)).otherwise(F.col("p"))
     return (
-        pairs.withColumn("p", p)
-        .drop("weights", "total")
-        .withColumns({"role": role, "role_p": role_p})
-        .withColumn("confidence", F.col("role_p"))
+        pairs.withColumns({"p": p, "lowered": F.lower("text")})
+        .withColumn("cue", cue)
+        .withColumns({"role": role, "role_p": role_p, "confidence": role_p})
+        .drop("weights", "total", "lowered", "cue")
     )
 
 
