@@ -465,6 +465,9 @@ ORACLE: dict[str, str] = {
         FROM (SELECT *, CASE WHEN p = 0 THEN 'irrelevant'
                 {' '.join(f"WHEN regexp_matches(low, {_q(x)}) THEN {_q(n)}" for n, x in C.LEXICAL_CUES)}
                 WHEN p >= 0.8 THEN 'direct_answer' ELSE 'background' END AS role FROM lexical_p)""",
+    "function_judge": f"""
+        SELECT doc_id, question_id, idx, (length(text) % 101)::DOUBLE / 100::DOUBLE AS p, {ROLE_LIST}[1 + length(text) % 7] AS role,
+               (length(text) % 11)::DOUBLE / 10::DOUBLE AS role_p, 0.5::DOUBLE AS confidence FROM asked""",
     # digest
     "judge_from_table": """
         SELECT doc_id, question_id, idx, CASE WHEN turn = 0 THEN p END AS p, CASE WHEN turn = 0 THEN role END AS role,
@@ -580,4 +583,7 @@ ORACLE: dict[str, str] = {
                 UNION ALL SELECT doc_id, question_id, idx, 2 FROM judged WHERE turn = 0 AND {_words('text')} % 2 = 0))
         WHERE run_id = newest""",
 }
+ORACLE["streamed_labels"] = ORACLE["label_counts"]
+ORACLE["streamed_paths"] = "SELECT doc_id, question_id, ord, idx, label, score FROM selected"
+ORACLE["streamed_passages"] = "SELECT page_id, idx, text, heading FROM web"
 ORACLE = {name: _with(sql) for name, sql in ORACLE.items()}

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayread.constants import DIGEST_WINDOW, FIND_WINDOW, HEADLINE_QUOTE_LEN
+from wayread.constants import DIGEST_WINDOW, FIND_WINDOW, HEADLINE_QUOTE_LEN, ROLE_NAMES
 from wayread.functions import text as T
 from wayread.functions.html import decode_entities, first_title
 from wayread.functions.scoring import digest_score
@@ -19,9 +21,10 @@ from wayread.operators import labels as V
 from wayread.operators import manifest as M
 from wayread.operators import passages as P
 from wayread.plans import pipelines as L
+from wayread.plans.lineage import ensure_checkpoint_dir
 from wayread.plans.recorded import derived_runs, layout_from_lines, recorded, recorded_answers
 from wayread.sources import readers as R
-from wayread.streaming.streams import latest_runs
+from wayread.streaming import streams as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -330,6 +333,24 @@ def lexical_judge(spark, sf):
     return scored.select("doc_id", "question_id", "idx", "p", "role", "role_p")
 
 
+@query
+def function_judge(spark, sf):
+    """A user function as judge, one call per window; it goes by the length of each passage."""
+    roles = list(ROLE_NAMES)
+
+    def by_length(request: str) -> dict:
+        answers = {}
+        for line in json.loads(request)["state"]["passages"].split("\n"):
+            name, text = line.split("| ", 1)
+            n, role = len(text), roles[len(text) % 7]
+            answers[f"{name}_needed"] = {"type": "noul", "noul": n % 101 / 100}
+            answers[f"{name}_role"] = {"type": "choice", "choice": role, "confidence": 0.5, "probabilities": {role: n % 11 / 10}}
+        return {"answers": answers, "input_tokens": len(request), "output_tokens": 1, "model": "by_length"}
+
+    items = L.judge(passages(spark, sf), document_runs(spark, sf), questions(spark, sf), by_length)
+    return items.select("doc_id", "question_id", "idx", "p", "role", "role_p", "confidence")
+
+
 # --------------------------------------------------------------------------- digest
 
 
@@ -568,5 +589,49 @@ def latest_answers_only(spark, sf):
     """Every first question was asked twice; the second run drops passages with odd numbers of words."""
     first = judged(spark, sf).withColumn("run_id", F.lit(1))
     again = first.where((F.col("turn") == 0) & (T.word_count(F.col("text")) % 2 == 0)).withColumn("run_id", F.lit(2))
-    rows = latest_runs(first.unionByName(again))
+    rows = S.latest_runs(first.unionByName(again))
     return rows.select("doc_id", "question_id", "idx", "run_id")
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder in the session's shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/run-{uuid.uuid4().hex}"
+
+
+def drain(writer, folder: str) -> None:
+    stream = writer.option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start()
+    stream.awaitTermination()
+
+
+@query
+def streamed_labels(spark, sf):
+    """Verdict counts of a label table that is read as a stream."""
+    folder = work_folder(spark)
+    records(spark, sf).write.parquet(f"{folder}/labels")
+    counts = S.stream_labels(spark, f"{folder}/labels", ("mode", "role")).writeStream.outputMode("complete")
+    drain(counts.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/counts")), folder)
+    return spark.read.parquet(f"{folder}/counts")
+
+
+@query
+def streamed_paths(spark, sf):
+    """Reading paths kept up to date while judgments arrive: first the first questions, then the others."""
+    folder = work_folder(spark)
+    rows = judged(spark, sf)
+    for turn in (0, 1):
+        part = rows.where(F.col("turn") == turn).select(
+            "doc_id", "question_id", "idx", "page", "heading", "text", "p", "role", "role_p", "confidence",
+            F.lit(1).cast("long").alias("run_id"),
+        )
+        part.write.mode("append").parquet(f"{folder}/judged")
+        drain(S.stream_judgments(spark, f"{folder}/judged", f"{folder}/out"), folder)
+    return S.current(spark, f"{folder}/out", "paths").select("doc_id", "question_id", "ord", "idx", "label", "score")
+
+
+@query
+def streamed_passages(spark, sf):
+    """Pages cut into passages as they arrive."""
+    folder = work_folder(spark)
+    pages(spark, sf).write.parquet(f"{folder}/pages")
+    drain(S.stream_documents(spark, f"{folder}/pages", f"{folder}/passages"), folder)
+    return spark.read.parquet(f"{folder}/passages").select("page_id", "idx", "text", "heading")

@@ -41,6 +41,9 @@ def _bucket(df: DataFrame) -> DataFrame:
 
 
 def _write_batch(df: DataFrame, table: str, batch_id: int, *by: str) -> None:
+    """Write one batch. Rows are brought together by bucket first; Spark splits a bucket that is too large."""
+    if by:
+        df = df.hint("rebalance", *by)
     df.write.mode("overwrite").partitionBy(*by).parquet(f"{table}/batch_id={batch_id}")
 
 
