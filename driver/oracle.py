@@ -476,7 +476,7 @@ ORACLE: dict[str, str] = {
     "select_digest": "SELECT doc_id, question_id, ord, idx, role, p, score FROM selected",
     "mark_catch": "SELECT doc_id, question_id, ord, is_catch, label FROM selected",
     "reading_path": """
-        SELECT doc_id, question_id, ord, idx, 1 AS page, role, label, p, role_p, confidence, score, text,
+        SELECT doc_id, question_id, ord, idx, 1::BIGINT AS page, role, label, p, role_p, confidence, score, text,
                NULL::VARCHAR AS heading, is_catch FROM selected""",
     "signal_stats": "SELECT * FROM signal",
     "digest_summary": """
@@ -542,7 +542,7 @@ ORACLE: dict[str, str] = {
         SELECT mode, role, count(*) AS n_labels, count(*) FILTER (correct) AS n_yes, count(*) FILTER (NOT correct) AS n_no
         FROM records GROUP BY ALL""",
     "label_calibration": """
-        SELECT mode, role, least(floor(p * 10)::INT, 9) AS bin, count(*) AS n_labels, count(*) FILTER (correct) AS n_yes,
+        SELECT mode, role, least(floor(p * 10)::BIGINT, 9) AS bin, count(*) AS n_labels, count(*) FILTER (correct) AS n_yes,
                avg(p) AS mean_p, count(*) FILTER (correct) / count(*)::DOUBLE AS precision
         FROM records GROUP BY ALL""",
     "label_thresholds": f"""
@@ -551,12 +551,12 @@ ORACLE: dict[str, str] = {
                    count(*) FILTER (p >= threshold AND correct) AS n_yes_kept
             FROM records, (SELECT unnest({GRID}) AS threshold) GROUP BY ALL)""",
     # nested
-    "source_info": "SELECT doc_id, 'doc/' || doc_id AS path, sha256(text) AS sha256, 1 AS pages FROM documents",
+    "source_info": "SELECT doc_id, 'doc/' || doc_id AS path, sha256(text) AS sha256, 1::BIGINT AS pages FROM documents",
     "page_counts": "SELECT doc_id, count(*) AS n_passages, max(page) AS n_pages FROM layout_passages GROUP BY doc_id",
     "documents_without_text": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM passages)",
     "manifest_flat": """
-        SELECT doc_id, question_id, 2 AS manifest_version, sha256(d.text) AS sha256, b.text AS question, 0.45::DOUBLE AS threshold,
-               'recorded' AS model, input_tokens, signal_ratio, ord AS "order", 1 AS page, role, label, p AS probability,
+        SELECT doc_id, question_id, 2::BIGINT AS manifest_version, sha256(d.text) AS sha256, b.text AS question, 0.45::DOUBLE AS threshold,
+               'recorded' AS model, input_tokens, signal_ratio, ord AS "order", 1::BIGINT AS page, role, label, p AS probability,
                role_p AS role_probability, confidence, score, s.text AS text, NULL::VARCHAR AS heading, is_catch
         FROM selected s JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = s.question_id
         JOIN usage USING (doc_id, question_id) JOIN signal USING (doc_id, question_id)""",
@@ -579,8 +579,8 @@ ORACLE: dict[str, str] = {
     "latest_answers_only": f"""
         SELECT doc_id, question_id, idx, run_id FROM (
             SELECT *, max(run_id) OVER (PARTITION BY doc_id, question_id) AS newest FROM (
-                SELECT doc_id, question_id, idx, 1 AS run_id FROM judged
-                UNION ALL SELECT doc_id, question_id, idx, 2 FROM judged WHERE turn = 0 AND {_words('text')} % 2 = 0))
+                SELECT doc_id, question_id, idx, 1::BIGINT AS run_id FROM judged
+                UNION ALL SELECT doc_id, question_id, idx, 2::BIGINT FROM judged WHERE turn = 0 AND {_words('text')} % 2 = 0))
         WHERE run_id = newest""",
 }
 ORACLE["streamed_labels"] = ORACLE["label_counts"]

@@ -31,7 +31,13 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    """Register a query. Whole numbers leave as bigint, as SQL counts and ranks do."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        df = fn(spark, sf)
+        return df.select(*[F.col(f"`{n}`").cast("long").alias(n) if t == "int" else F.col(f"`{n}`") for n, t in df.dtypes])
+
+    QUERIES[fn.__name__] = run
     return fn
 
 
