@@ -127,40 +127,39 @@ def threshold_sweep(
     Signal is one aggregation with a column per threshold. For the selection an item is repeated only for
     the thresholds it reaches, without its text, and the rank limit cuts those rows before the shuffle.
     """
-    grid = list(thresholds or threshold_grid())
+    grid = sorted(set(thresholds or threshold_grid()))
     words = word_count(F.col("text")).cast("long")
     slim = judged.select(*group, "idx", "p", "role", "role_p", words.alias("words"))
     ok = needed(F.col("role"))
 
+    # thresholds are keyed by their place in the grid: whole numbers partition, group and join alike
+    levels = F.array(*[F.lit(t) for t in grid])
+    per_level = F.array(*[F.coalesce(F.sum(F.when(ok & (F.col("p") >= t), F.col("words"))), F.lit(0)) for t in grid])
     signal = (
         slim.groupBy(*group)
         .agg(
             F.coalesce(F.sum(F.when(F.col("p").isNotNull(), F.col("words"))), F.lit(0)).alias("judged_words"),
-            F.array(
-                *[F.coalesce(F.sum(F.when(ok & (F.col("p") >= t), F.col("words"))), F.lit(0)) for t in grid]
-            ).alias("per_threshold"),
+            per_level.alias("per_level"),
         )
-        .select(
-            *group, "judged_words",
-            F.explode(
-                F.arrays_zip(F.array(*[F.lit(t) for t in grid]).alias("threshold"), F.col("per_threshold").alias("n"))
-            ).alias("at"),
-        )
-        .select(*group, F.col("at.threshold").alias("threshold"), "judged_words", F.col("at.n").alias("signal_words"))
+        .select(*group, "judged_words", F.posexplode("per_level").alias("level", "signal_words"))
         .withColumn("signal_ratio", _ratio())
     )
 
-    reached = F.filter(F.array(*[F.lit(t) for t in grid]), lambda t: t <= F.col("p"))
-    by_threshold = slim.where(ok & F.col("p").isNotNull()).select(
-        *group, "idx", "p", "role", "role_p", F.explode(reached).alias("threshold")
+    # the grid ascends, so the thresholds an item reaches are its first ones
+    reached = F.filter(levels, lambda t: t <= F.col("p"))
+    by_level = slim.where(ok & F.col("p").isNotNull()).select(
+        *group, "idx", "p", "role", "role_p", F.posexplode(reached).alias("level", "cut")
     )
-    key = [*group, "threshold"]
+    key = [*group, "level"]
     paths = (
-        select_digest(by_threshold, F.col("threshold"), key)
+        select_digest(by_level, F.col("cut"), key)
         .groupBy(*key)
         .agg(F.count("*").alias("n_selected"), F.max(F.when(F.col("is_catch"), F.col("idx"))).alias("catch_idx"))
     )
-    return signal.join(paths, key, "left").withColumn("n_selected", F.coalesce("n_selected", F.lit(0)))
+    return signal.join(paths, key, "left").select(
+        *group, F.get(levels, F.col("level")).alias("threshold"), "judged_words", "signal_words", "signal_ratio",
+        F.coalesce("n_selected", F.lit(0)).alias("n_selected"), "catch_idx",
+    )
 
 
 def reading_path(selected: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
