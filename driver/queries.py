@@ -20,7 +20,7 @@ from wayread.operators import judge as J
 from wayread.operators import labels as V
 from wayread.operators import manifest as M
 from wayread.operators import passages as P
-from wayread.plans import pipelines as L
+from wayread.plans import runs as L
 from wayread.plans.lineage import ensure_checkpoint_dir
 from wayread.plans.recorded import derived_runs, layout_from_lines, recorded, recorded_answers
 from wayread.sources import readers as R

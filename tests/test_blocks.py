@@ -93,7 +93,6 @@ def test_blocks_match_stack_parser(spark):
 
 def test_driver_pages_match_stack_parser(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
-    # a page cut off inside a reference keeps it undecoded here, the parser of the standard library differs
     htmls = [r.html for r in rows]
     got = blocks_of(spark, htmls)
     for html, have in zip(htmls, got):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wayread.operators import judge as J
 from wayread.operators.digest import reading_path, select_digest, signal_stats
 from wayread.operators.manifest import manifest, source_info
-from wayread.plans import pipelines as L
+from wayread.plans import runs as L
 
 ITEMS = "doc_id long, question_id long, idx int, text string, heading string, page int"
 
