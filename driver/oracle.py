@@ -32,8 +32,9 @@ def _headline(x: str) -> str:
 
 
 def _entities(x: str) -> str:
+    """The names that occur in the tables; HTML reads them without the semicolon too."""
     for name, char in [("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")]:
-        x = f"replace({x}, '&{name};', {_q(char)})"
+        x = f"regexp_replace({x}, '&{name};?', {_q(char)}, 'g')"
     return x
 
 
