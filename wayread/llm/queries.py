@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayread.llm import mixing, packing, sharding
+from wayread.llm import embeddings, mixing, packing, search, sharding
 from wayread.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,36 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"), capacity=1024, end=2)
+
+
+@query
+def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", search.weights("embedding", 64.0).alias("terms"))
+    return search.top_k(rows.where(F.col("vec_id") % 20 == 0), rows, k=20)
+
+
+@query
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"), least=0.93)
+
+
+ORACLE["op5_search"] = """
+WITH r AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+t AS (SELECT vec_id, generate_subscripts(w, 1) AS term, unnest(w) AS weight FROM r),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.weight * c.weight) AS BIGINT) AS score
+      FROM t q JOIN t c ON q.term = c.term AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 GROUP BY 1, 2)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM
+(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
+
+ORACLE["op6_embedding_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+           AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+c AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT c.node, p.b FROM c JOIN p ON p.a = c.seen),
+m AS (SELECT node, min(seen) AS component_id FROM c GROUP BY node),
+n AS (SELECT a, count(*) AS n_links FROM p GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, m.component_id, e.vec_id = m.component_id AS kept
+FROM embeddings e JOIN m ON m.node = e.vec_id LEFT JOIN n ON n.a = e.vec_id"""

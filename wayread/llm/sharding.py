@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wayread.llm.common import settle
 
 #: Rows that a ranking cell holds on average.
-CELL = 4096
+CELL = 1024
 
 
 def _ranked(rows: DataFrame, group: list[str], at: str, order: list[str], cells: int, name: str) -> DataFrame:
