@@ -233,7 +233,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, width: int = 5) ->
     promising = settle(_tiled(open_docs, TILE, _promising(percent), ["prints"]).select(F.col("a").alias("id")).distinct())
     close = open_docs.join(promising, "id").join(sets, "id")
     more = settle(_tiled(close, SET_TILE, _linked(percent), ["prints", "shingles"]))
-    final = settle(connected(links.union(more).union(_lasting(parts))))
+    final = connected(more.union(_lasting(parts)))
 
     labels = final.select(F.col("node").alias("class"), "component")
     out = members.select("id", "n", "class").join(labels, "class", "left")

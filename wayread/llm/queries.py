@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayread.llm import embeddings, minhash, mixing, packing, search, sharding
+from wayread.llm import embeddings, extraction, minhash, mixing, packing, search, sentences, sharding, toxicity
 from wayread.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,24 @@ g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 c AS (SELECT doc_id AS node, doc_id AS seen FROM n UNION SELECT c.node, g.b FROM c JOIN g ON g.a = c.seen),
 m AS (SELECT node, min(seen) AS component_id FROM c GROUP BY node)
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, m.component_id, n.doc_id = m.component_id AS kept FROM n JOIN m ON m.node = n.doc_id"""
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = sentences.deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", F.col("sentences_").alias("n_sentences"), F.col("removed_").alias("n_removed"), "text")
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(documents, read(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    score = F.col("toxicity_")
+    out = toxicity.scored(documents, model)
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), score.alias("score"), F.when(score >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = extraction.main_text(read(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
