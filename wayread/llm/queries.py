@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayread.llm import embeddings, extraction, minhash, mixing, packing, search, sentences, sharding, toxicity
+from wayread.llm import embeddings, extraction, minhash, mixing, packing, search, sentences, sharding, suffixes, toxicity
 from wayread.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = extraction.main_text(read(spark, sf_dir, "pages"))
     return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.without_repeats(read(spark, sf_dir, "documents"), length=50)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
