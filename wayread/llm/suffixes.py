@@ -17,7 +17,10 @@ SEED = 20
 #: Bytes of text that are hashed at a time.
 CHUNK = 2_000_000
 _BASE = np.uint64(0x9FB21C651E98DF25)
-SAMPLE = np.dtype([("seed", "<u4"), ("whole", "<u8"), ("doc", "<i8"), ("at", "<u4")])
+SAMPLE = np.dtype([("seed", "<u4"), ("whole", "<u4"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i8"), ("at", "<u4")])
+WHOLE = ("seed", "whole", "left", "right")
+#: Flanks that no string has, and those that any string may have as its seed stands there several times.
+NONE, ANY = 0, 1
 WINDOW = np.dtype([("whole", "<u8"), ("doc", "<i8"), ("at", "<u4")])
 FULL, OPEN, SINGLE = 0, 1, 2
 
@@ -55,6 +58,7 @@ class Text:
         # the lowest seed hash within each string of the full length
         low = _mix((self.sums[SEED:] - self.sums[:-SEED]) * self.up[:len(data) - SEED + 1])
         width, have = length - SEED + 1, 1
+        self.seeds = low
         while have < width:
             step = min(have, width - have)
             low, have = np.minimum(low[:-step], low[step:]), have + step
@@ -74,6 +78,28 @@ class Text:
         # empty texts start where the next one does
         self.ordinals = np.arange(len(self.docs)) - np.searchsorted(self.docs, self.docs)
 
+    def flanks(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of each sample's seed with half of the other bytes to its left, and to its right: a string of the full
+        length holds one of the two."""
+        half, span = (self.length - SEED + 1) // 2, self.length - SEED
+        seed = np.full(len(self.first), -1, np.int64)
+        again = np.full(len(self.first), -1, np.int64)
+        for k in range(span + 1):
+            here = (seed < 0) & (self.seeds[self.first + k] == self.lows)
+            seed[here] = self.first[here] + k
+            here = (again < 0) & (self.seeds[self.last + span - k] == self.lows)
+            again[here] = self.last[here] + span - k
+        self.middle = seed - half  # the strings that start up to here hold the left flank, those from here on the right one
+        size = np.uint64(0x61C8864680B583EB)
+        start = np.maximum(seed - half, 0)
+        left = _mix((self.sums[seed + SEED] - self.sums[start]) * self.up[start] + size) % np.uint64(65534) + np.uint64(2)
+        end = np.minimum(seed + SEED + half, len(self.sums) - 1)
+        right = _mix((self.sums[end] - self.sums[seed]) * self.up[seed] + size) % np.uint64(65534) + np.uint64(2)
+        left[seed - half < self.first] = NONE
+        right[seed + SEED + half > self.last + self.length] = NONE
+        left[seed != again] = right[seed != again] = ANY
+        return left, right
+
     def hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Of the bytes that the strings from ``first`` to ``last`` cover, wherever they stand."""
         span = (last - first).astype(np.uint64) + np.uint64(1)
@@ -121,17 +147,17 @@ def _groups(*columns: np.ndarray) -> np.ndarray:
 def _rows(docs: np.ndarray, kind: int, at: np.ndarray) -> Iterator[pa.RecordBatch]:
     for k in range(0, len(docs), 50_000):
         d, a = docs[k:k + 50_000], at[k:k + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(np.full(len(d), kind, np.int32)), pa.array(a.astype(np.int32))], names=["doc_id", "kind", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(np.full(len(d), kind, np.int32)), pa.array(a.astype(np.int64))], names=["doc_id", "kind", "at"])
 
 
-FOUND = "doc_id long, kind int, at int"
+FOUND = "doc_id long, kind int, at long"
 
 
 def _dealt(parts: list[np.ndarray], column: str, dealt: int) -> pa.RecordBatch:
     """A batch's rows, packed by the residue of a hash. Of equal strings only those of the batch's smallest document go out;
     the others are settled here and go as rows of their own, under negative numbers."""
     rows = np.concatenate(parts)
-    keys = [c for c in ("seed", "whole") if c in rows.dtype.names]
+    keys = [c for c in rows.dtype.names if c not in ("doc", "at")]
     rows = rows[np.lexsort([rows["at"], rows["doc"], *[rows[k] for k in reversed(keys)]])]
     lead = rows["doc"][_groups(*[rows[k] for k in keys])] if len(rows) else rows["doc"]
     known, sent = rows[rows["doc"] > lead], rows[rows["doc"] == lead]
@@ -199,28 +225,40 @@ def repeats(documents: DataFrame, length: int = 50) -> DataFrame:
                     text = Text(texts, length)
                     if len(text.first):
                         rows = np.empty(len(text.first), SAMPLE)
-                        rows["seed"], rows["whole"] = text.lows >> np.uint64(32), text.hashes(text.first, text.last)
+                        rows["seed"], rows["whole"] = text.lows >> np.uint64(32), text.hashes(text.first, text.last) >> np.uint64(32)
+                        rows["left"], rows["right"] = text.flanks()
                         rows["doc"], rows["at"] = docs[text.docs], text.ordinals
                         found.append(rows)
             yield _dealt(found, "seed", dealt)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, known = _received(batches, SAMPLE, ("seed", "whole", "doc", "at"))
+        rows, known = _received(batches, SAMPLE, (*WHOLE, "doc", "at"))
         for k in known:
             yield from _rows(k["doc"], FULL, k["at"])
         if not len(rows):
             return
-        seeds, classes = _groups(rows["seed"]), _groups(rows["seed"], rows["whole"])
-        lead = rows["doc"][classes]
-        later = rows["doc"] > lead
+        later = rows["doc"] > rows["doc"][_groups(*[rows[c] for c in WHOLE])]
         yield from _rows(rows["doc"][later], FULL, rows["at"][later])
-        # of the same seed, in a smaller document, but of other surroundings: their strings have to be looked at
-        smallest = np.minimum.reduceat(rows["doc"], np.unique(seeds))[np.searchsorted(np.unique(seeds), seeds)]
-        partly = ~later & (rows["doc"] > smallest)
-        asked = np.zeros(len(rows), bool)
-        asked[np.unique(seeds[partly])] = True
-        asked = ~later & asked[seeds]
-        yield from _rows(rows["doc"][asked], OPEN, rows["at"][asked])
+        # the first of each kind: of the same seed and one flank, in a smaller document, their strings have to be looked at
+        rows = rows[~later]
+        seeds = _groups(rows["seed"])
+        several = np.bincount(seeds, minlength=len(rows))[seeds] > 1
+        rows = rows[several]
+        asked = np.zeros(len(rows), np.int64)  # 1: strings with the left flank, 2: with the right one
+        for sides, flank in ((1, "left"), (2, "right")):
+            order = np.lexsort((rows["doc"], rows[flank], rows["seed"]))
+            part = rows[order]
+            groups = _groups(part["seed"], part[flank])
+            split = (part["doc"] > part["doc"][groups]) & (part[flank] != NONE)
+            hit = np.zeros(len(part), bool)
+            hit[groups[split]] = True
+            asked[order] |= np.where(hit[groups], sides, 0)
+        seeds = _groups(rows["seed"])
+        loose = np.zeros(len(rows), bool)
+        loose[seeds[rows["left"] == ANY]] = True
+        asked[loose[seeds]] = 3
+        some = asked > 0
+        yield from _rows(rows["doc"][some], OPEN, rows["at"][some].astype(np.int64) * 4 + asked[some])
 
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     texts = texts.where(F.octet_length("text") >= length)
@@ -233,12 +271,17 @@ def repeats(documents: DataFrame, length: int = 50) -> DataFrame:
             with np.errstate(over="ignore"):
                 for docs, part in _chunks(batch["doc_id"].to_pylist(), [zstandard.decompress(t) for t in batch["text"].to_pylist()]):
                     text = Text(part, length)
+                    if len(text.first):
+                        text.flanks()
                     for k in range(len(docs)):
-                        base = np.searchsorted(text.docs, k)
-                        which = base + np.array(asked[at + k], np.int64)
-                        which = which[which < np.searchsorted(text.docs, k, side="right")]
+                        which = np.searchsorted(text.docs, k) + np.array(asked[at + k], np.int64) // 4
+                        sides = np.array(asked[at + k], np.int64) % 4
+                        fits = which < np.searchsorted(text.docs, k, side="right")
+                        which, sides = which[fits], sides[fits]
                         if len(which):
-                            places = np.concatenate([np.arange(text.first[x], text.last[x] + 1) for x in which])
+                            first = np.where(sides == 2, np.maximum(text.first[which], text.middle[which]), text.first[which])
+                            last = np.where(sides == 1, np.minimum(text.last[which], text.middle[which]), text.last[which])
+                            places = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last)])
                             rows = np.empty(len(places), WINDOW)
                             rows["whole"], rows["doc"], rows["at"] = text.hashes(places, places), docs[k], places - text.starts[k]
                             parts.append(rows)
@@ -278,8 +321,8 @@ def without_repeats(documents: DataFrame, length: int = 50) -> DataFrame:
 
     A sample stands for all strings side by side that share their lowest seed hash; it has the same place and extent wherever
     the same bytes stand. Samples are sorted in the tasks of a hash range, in a family of levels, and scanned: equal ones
-    are settled; those that share a seed but not the whole are taken apart into strings, and these are matched the same
-    way. Equality is that of 64-bit hashes (and the seed's 32 bits for samples).
+    are settled; those that share a seed and one flank but not the whole are taken apart into strings, and these are
+    matched the same way. Equality is that of hashes: 96 bits of seed, whole and flanks for samples, 64 for strings.
 
     Null texts are empty. Ids are taken to be unique; rows with null ids stay whole and are no source. An empty table
     gives no rows. Other columns are not looked at.
