@@ -15,10 +15,11 @@ from wayread.llm.common import kept_in_worker, settle
 #: Bytes of the strings whose lowest hash picks a sample: every match of the full length holds one in the same place.
 SEED = 20
 #: Bytes of text that are hashed at a time.
-CHUNK = 2_000_000
+CHUNK = 250_000
+#: Samples that make a new batch of the family.
+BATCH = 1 << 19
 _BASE = np.uint64(0x9FB21C651E98DF25)
 SAMPLE = np.dtype([("seed", "<u4"), ("whole", "<u4"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i8"), ("at", "<u4")])
-WHOLE = ("seed", "whole", "left", "right")
 #: Flanks that no string has, and those that any string may have as its seed stands there several times.
 NONE, ANY = 0, 1
 WINDOW = np.dtype([("whole", "<u8"), ("doc", "<i8"), ("at", "<u4")])
@@ -67,6 +68,7 @@ class Text:
         np.add.at(fits, self.starts[long], 1)
         np.add.at(fits, self.starts[long] + sizes[long] - length + 1, -1)
         fits = np.cumsum(fits)[:len(low)] > 0
+        self.low, self.fits = low, fits
         # strings side by side with one lowest hash are one sample
         same = np.zeros(len(low) + 1, bool)
         same[1:-1] = fits[1:] & fits[:-1] & (low[1:] == low[:-1])
@@ -82,13 +84,20 @@ class Text:
         """Hashes of each sample's seed with half of the other bytes to its left, and to its right: a string of the full
         length holds one of the two."""
         half, span = (self.length - SEED + 1) // 2, self.length - SEED
+        # a place is the seed of some string if the highest of the lowest hashes around it is its own
+        high, have = np.zeros(len(self.seeds) + span, np.uint64), 1
+        high[span:span + len(self.low)] = np.where(self.fits, self.low, np.uint64(0))
+        while have < span + 1:
+            step = min(have, span + 1 - have)
+            high, have = np.maximum(high[:-step], high[step:]), have + step
+        places = np.flatnonzero(high == self.seeds)
+        value = self.seeds[places]
+        sample = np.minimum(np.searchsorted(self.first, places, side="right") - 1, len(self.first) - 1)
+        while (astray := self.lows[sample] != value).any():
+            sample[astray] -= 1
         seed = np.full(len(self.first), -1, np.int64)
-        again = np.full(len(self.first), -1, np.int64)
-        for k in range(span + 1):
-            here = (seed < 0) & (self.seeds[self.first + k] == self.lows)
-            seed[here] = self.first[here] + k
-            here = (again < 0) & (self.seeds[self.last + span - k] == self.lows)
-            again[here] = self.last[here] + span - k
+        seed[sample[::-1]] = places[::-1]
+        again = np.bincount(sample, minlength=len(self.first)) > 1
         self.middle = seed - half  # the strings that start up to here hold the left flank, those from here on the right one
         size = np.uint64(0x61C8864680B583EB)
         start = np.maximum(seed - half, 0)
@@ -97,7 +106,7 @@ class Text:
         right = _mix((self.sums[end] - self.sums[seed]) * self.up[seed] + size) % np.uint64(65534) + np.uint64(2)
         left[seed - half < self.first] = NONE
         right[seed + SEED + half > self.last + self.length] = NONE
-        left[seed != again] = right[seed != again] = ANY
+        left[again] = right[again] = ANY
         return left, right
 
     def hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -116,15 +125,23 @@ def _chunks(docs: list, texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[b
         at = end
 
 
+def _keys(rows: np.ndarray) -> list[np.ndarray]:
+    """What makes rows equal strings, in as few numbers as they fit."""
+    if "seed" not in rows.dtype.names:
+        return [rows["whole"]]
+    return [rows["seed"].astype(np.uint64) << np.uint64(32) | rows["whole"], rows["left"].astype(np.uint32) << np.uint32(16) | rows["right"]]
+
+
 class Family:
     """Sorted samples in levels. A new batch is sorted and becomes the lowest level; levels of like size merge, so that sizes
     grow geometrically and each sample is merged a logarithmic number of times."""
 
-    def __init__(self, order: tuple[str, ...]):
-        self.order, self.levels = order, []
+    def __init__(self) -> None:
+        self.levels: list[np.ndarray] = []
 
-    def _sorted(self, rows: np.ndarray) -> np.ndarray:
-        return rows[np.lexsort([rows[c] for c in reversed(self.order)])]
+    @staticmethod
+    def _sorted(rows: np.ndarray) -> np.ndarray:
+        return rows[np.lexsort([rows["doc"], *reversed(_keys(rows))])]
 
     def add(self, batch: np.ndarray) -> None:
         self.levels.append(self._sorted(batch))
@@ -133,7 +150,10 @@ class Family:
             self.levels[-1] = self._sorted(np.concatenate([self.levels[-1], last]))
 
     def merged(self, kind: np.dtype) -> np.ndarray:
-        return self._sorted(np.concatenate([np.zeros(0, kind), *self.levels]))
+        while len(self.levels) > 1:
+            last = self.levels.pop()
+            self.levels[-1] = self._sorted(np.concatenate([self.levels[-1], last]))
+        return self.levels[0] if self.levels else np.zeros(0, kind)
 
 
 def _groups(*columns: np.ndarray) -> np.ndarray:
@@ -157,9 +177,8 @@ def _dealt(parts: list[np.ndarray], column: str, dealt: int) -> pa.RecordBatch:
     """A batch's rows, packed by the residue of a hash. Of equal strings only those of the batch's smallest document go out;
     the others are settled here and go as rows of their own, under negative numbers."""
     rows = np.concatenate(parts)
-    keys = [c for c in rows.dtype.names if c not in ("doc", "at")]
-    rows = rows[np.lexsort([rows["at"], rows["doc"], *[rows[k] for k in reversed(keys)]])]
-    lead = rows["doc"][_groups(*[rows[k] for k in keys])] if len(rows) else rows["doc"]
+    rows = Family._sorted(rows)
+    lead = rows["doc"][_groups(*_keys(rows))] if len(rows) else rows["doc"]
     known, sent = rows[rows["doc"] > lead], rows[rows["doc"] == lead]
     to = (sent[column] % dealt).astype(np.int64)
     order = np.lexsort((sent["at"], sent["doc"], to))
@@ -191,9 +210,9 @@ def _unpacked(blob: bytes, kind: np.dtype) -> np.ndarray:
     return rows
 
 
-def _received(batches: Iterator[pa.RecordBatch], kind: np.dtype, order: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+def _received(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> tuple[np.ndarray, list[np.ndarray]]:
     """All rows of a partition in the family's order, and those that a batch has settled by itself."""
-    family, known, waiting = Family(order), [], []
+    family, known, waiting, size = Family(), [], [], 0
     for batch in batches:
         for to, blob in zip(batch["to"].to_pylist(), batch["rows"]):
             rows = _unpacked(blob.as_py(), kind)
@@ -201,9 +220,10 @@ def _received(batches: Iterator[pa.RecordBatch], kind: np.dtype, order: tuple[st
                 known.append(rows)
                 continue
             waiting.append(rows)
-            if sum(map(len, waiting)) > 1 << 17:
+            size += len(rows)
+            if size > BATCH:
                 family.add(np.concatenate(waiting))
-                waiting = []
+                waiting, size = [], 0
     if waiting:
         family.add(np.concatenate(waiting))
     return family.merged(kind), known
@@ -232,12 +252,12 @@ def repeats(documents: DataFrame, length: int = 50) -> DataFrame:
             yield _dealt(found, "seed", dealt)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, known = _received(batches, SAMPLE, (*WHOLE, "doc", "at"))
+        rows, known = _received(batches, SAMPLE)
         for k in known:
             yield from _rows(k["doc"], FULL, k["at"])
         if not len(rows):
             return
-        later = rows["doc"] > rows["doc"][_groups(*[rows[c] for c in WHOLE])]
+        later = rows["doc"] > rows["doc"][_groups(*_keys(rows))]
         yield from _rows(rows["doc"][later], FULL, rows["at"][later])
         # the first of each kind: of the same seed and one flank, in a smaller document, their strings have to be looked at
         rows = rows[~later]
@@ -289,7 +309,7 @@ def repeats(documents: DataFrame, length: int = 50) -> DataFrame:
             yield _dealt(parts, "whole", dealt)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, known = _received(batches, WINDOW, ("whole", "doc", "at"))
+        rows, known = _received(batches, WINDOW)
         for k in known:
             yield from _rows(k["doc"], SINGLE, k["at"])
         if len(rows):
