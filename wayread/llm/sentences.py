@@ -62,9 +62,11 @@ ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("first", "<u4"), ("last", "<u
 def _later(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Entries by key and order of appearance; which of them are not the first of their key."""
     entries = entries[np.lexsort((entries["first"], entries["doc"], entries["key"]))]
-    later = np.zeros(len(entries), bool)
-    later[1:] = entries["key"][1:] == entries["key"][:-1]
-    return entries, later
+    new = np.ones(len(entries), bool)
+    new[1:] = entries["key"][1:] != entries["key"][:-1]
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(entries)), 0))
+    # a repeated row brings the same place again, which makes no run a repeat
+    return entries, (entries["doc"] != entries["doc"][lead]) | (entries["first"] != entries["first"][lead])
 
 
 def repeated_spans(documents: DataFrame, sentences_least: int = 2, words_least: int = 16) -> DataFrame:
