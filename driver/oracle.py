@@ -190,12 +190,15 @@ TABLES: dict[str, str] = {
     "sents": """
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS idx, text, s, e
         FROM parts WHERE length(text) >= 12""",
-    "queries": "SELECT item_id AS question_id, array_to_string(string_split(text, ' ')[1:2], ' ') AS query FROM benchmark",
+    "queries": "SELECT item_id AS question_id, text AS query FROM benchmark",
     "sents_asked": "SELECT s.*, question_id, turn FROM sents s JOIN runs USING (doc_id)",
     "found_p": _recorded("sents_asked"),
     "found": """
         SELECT f.*, query, contains(lower(text), lower(trim(query))) AS is_literal
         FROM found_p f JOIN queries USING (question_id)""",
+    "found_terms": """
+        SELECT f.*, lang AS query, contains(lower(text), lower(trim(lang))) AS is_literal
+        FROM found_p f JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)""",
     # ---- web pages
     "tokens": f"""
         SELECT page_id, unnest(t) AS t, generate_subscripts(t, 1) - 1 AS pos
@@ -353,7 +356,7 @@ TABLES: dict[str, str] = {
     "records": """
         SELECT l.doc_id * 1000 + turn AS ts, 'doc/' || l.doc_id AS url, 'digest' AS mode, b.text AS query, j.text AS text, p, role, role_p,
                quality = 1 AS correct
-        FROM labels l JOIN judged j ON j.doc_id = l.doc_id AND idx = 0 JOIN benchmark b ON b.item_id = j.question_id""",
+        FROM labels l JOIN judged j ON j.doc_id = l.doc_id JOIN benchmark b ON b.item_id = j.question_id""",
     **_selected("swept", "swept_judged", ", threshold", "threshold"),
     "swept_judged": f"SELECT * FROM judged, (SELECT unnest({GRID}) AS threshold)",
 }
@@ -521,11 +524,11 @@ ORACLE: dict[str, str] = {
             SELECT conv_id AS doc_id, turn AS idx, text, (conv_id * 7 + t.turn_no * 11) % n AS question_id
             FROM conversations, (VALUES (0), (1)) AS t(turn_no), n_questions)''')}) j JOIN queries USING (question_id))
         GROUP BY ALL""",
-    "literal_matches": "SELECT doc_id, question_id, idx FROM found WHERE is_literal",
-    "semantic_only": "SELECT doc_id, question_id, idx FROM found WHERE p >= 0.45::DOUBLE AND NOT is_literal",
+    "literal_matches": "SELECT doc_id, question_id, idx FROM found_terms WHERE is_literal",
+    "semantic_only": "SELECT doc_id, question_id, idx FROM found_terms WHERE p >= 0.45::DOUBLE AND NOT is_literal",
     "literal_and_semantic": """
-        SELECT doc_id, question_id, idx FROM found WHERE is_literal
-        INTERSECT SELECT doc_id, question_id, idx FROM found WHERE p >= 0.45::DOUBLE""",
+        SELECT doc_id, question_id, idx FROM found_terms WHERE is_literal
+        INTERSECT SELECT doc_id, question_id, idx FROM found_terms WHERE p >= 0.45::DOUBLE""",
     "find_sweep": f"""
         SELECT doc_id, question_id, threshold, count(*) FILTER (p >= threshold) AS n_matches
         FROM found, (SELECT unnest({GRID}) AS threshold) GROUP BY ALL""",

@@ -56,11 +56,6 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
     return R.read_questions(spark, f"{sf}/benchmark.parquet")
 
 
-def short_questions(spark: SparkSession, sf: str) -> DataFrame:
-    """The first two words of every question, so that literal search has hits."""
-    return questions(spark, sf).withColumn("question", F.substring_index("question", " ", 2))
-
-
 def runs(spark: SparkSession, sf: str, of: DataFrame, doc: str = "doc_id") -> DataFrame:
     return derived_runs(of, questions(spark, sf).count(), doc=doc)
 
@@ -85,7 +80,14 @@ def judged(spark: SparkSession, sf: str) -> DataFrame:
 def found(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences of every run with judgments and the query text."""
     items = P.document_sentences(documents(spark, sf)).join(document_runs(spark, sf), "doc_id")
-    return J.lookup_join(recorded(items), short_questions(spark, sf), "question_id")
+    return J.lookup_join(recorded(items), questions(spark, sf), "question_id")
+
+
+def found_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences of every run with judgments; the query is a short term that many hold, the code of the document's language."""
+    items = P.document_sentences(documents(spark, sf)).join(document_runs(spark, sf), "doc_id")
+    terms = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("lang").alias("question"))
+    return recorded(items).join(terms, "doc_id")
 
 
 def layout(spark: SparkSession, sf: str) -> DataFrame:
@@ -442,23 +444,23 @@ def find_turns(spark, sf):
     turns = R.read_turns(spark, f"{sf}/conversations.parquet")
     turn_runs = runs(spark, sf, turns.select("doc_id").distinct())
     items = recorded(turns.join(turn_runs, "doc_id"))
-    return N.find_summary(J.lookup_join(items, short_questions(spark, sf), "question_id"))
+    return N.find_summary(J.lookup_join(items, questions(spark, sf), "question_id"))
 
 
 @query
 def literal_matches(spark, sf):
-    flagged = N.flag_literal(found(spark, sf))
+    flagged = N.flag_literal(found_terms(spark, sf))
     return flagged.where("is_literal").select("doc_id", "question_id", "idx")
 
 
 @query
 def semantic_only(spark, sf):
-    return N.semantic_only(N.find_matches(found(spark, sf))).select("doc_id", "question_id", "idx")
+    return N.semantic_only(N.find_matches(found_terms(spark, sf))).select("doc_id", "question_id", "idx")
 
 
 @query
 def literal_and_semantic(spark, sf):
-    return N.literal_and_semantic(N.find_matches(found(spark, sf))).select("doc_id", "question_id", "idx")
+    return N.literal_and_semantic(N.find_matches(found_terms(spark, sf))).select("doc_id", "question_id", "idx")
 
 
 @query
@@ -481,12 +483,10 @@ def match_navigation(spark, sf):
 
 
 def verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    """A quality label is the verdict on the first passage of a document, for both of its questions."""
+    """A quality label is the verdict on every passage of a document, for both of its questions."""
     return spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", (F.col("quality") == 1).alias("correct")).join(
-        document_runs(spark, sf), "doc_id"
-    ).select(
-        (F.col("doc_id") * 1000 + F.col("turn")).alias("ts"), "doc_id", "question_id", F.lit(0).alias("idx"), "correct"
-    )
+        judged(spark, sf).select("doc_id", "question_id", "turn", "idx"), "doc_id"
+    ).select((F.col("doc_id") * 1000 + F.col("turn")).alias("ts"), "doc_id", "question_id", "idx", "correct")
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:

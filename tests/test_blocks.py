@@ -164,3 +164,8 @@ def test_sentence_numbering(spark):
     (rows,) = [B.html_blocks(pages(spark, ["<p>First one here. Tiny. Second one here.</p><p>Third one here.</p>"]))]
     got = sorted((r.idx, r.text) for r in P.sentences(rows).collect())
     assert got == [(0, "First one here."), (1, "Second one here."), (2, "Third one here.")]
+
+
+def test_text_that_begins_with_a_bracket_stays(spark):
+    pages = spark.createDataFrame([(1, "<p>< 5 years of age</p><p><b>Rule:</b><3 items are free</p>")], "page_id long, html string")
+    assert [r["text"] for r in B.html_blocks(pages).orderBy("block_pos").collect()] == ["< 5 years of age", "Rule:<3 items are free"]

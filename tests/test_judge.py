@@ -212,3 +212,20 @@ def test_lexical_judge(spark):
     p = round((refunds + paid) / (refunds + paid + when), 6)
     assert got[0, 0] == (p, "background", p) and got[0, 1] == (0.0, "irrelevant", 0.0)
     assert got[0, 2] == (p, "qualification", 1.0) and got[1, 0] == (0.0, "irrelevant", 0.0)
+
+
+def test_lost_replies_fail_and_dirty_records_are_tidied(spark):
+    requests = spark.createDataFrame([("k1", 1, 1, 0, 1), ("k2", 1, 1, 1, 1)], "request_key string, doc_id long, question_id long, window_no int, n_items int")
+    for rows in ([("k1", "oops", None), ("k2", "{}", "timeout")], [("k2", None, "timeout")]):
+        answers = spark.createDataFrame(rows, "request_key string, answers string, error string")
+        with pytest.raises(Exception, match="reply absent or unreadable: k1"):
+            J.parse_answers(requests, answers, "find").collect()
+    failed = spark.createDataFrame([("k1", None, "timeout"), ("k2", None, "timeout")], "request_key string, answers string, error string")
+    assert J.parse_answers(requests, failed, "find").count() == 0
+
+    items = spark.createDataFrame([(1, 0), (1, 1), (1, 2)], "doc_id long, idx int")
+    runs = spark.createDataFrame([(1, 7)], "doc_id long, question_id long")
+    records = spark.createDataFrame(
+        [(1, 7, 0, float("nan"), "seer"), (1, 7, 1, 0.5, None), (1, 7, 1, 0.4, None)], "doc_id long, question_id long, idx int, p double, role string")
+    got = {r["idx"]: (r["p"], r["role"]) for r in J.judge_from_table(items, runs, records).collect()}
+    assert got == {0: (0.0, "irrelevant"), 1: (0.5, None), 2: (None, None)}

@@ -50,7 +50,7 @@ def html_tokens(pages: DataFrame, doc: str = "page_id", html: str = "html") -> D
     hiding = F.contains(F.col(html), F.lit("aria-hidden"))
 
     def named(token: Column) -> Column:
-        name = F.when(token.startswith("<") & (token != "<"), tag_name(token))
+        name = F.when(token.rlike("^<(?:[!?/]|[a-zA-Z])"), tag_name(token))  # any other bracket is text
         return F.struct(token.alias("token"), name.alias("name"))
 
     def useful(x: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayread.constants import DEFAULT_THRESHOLD
+from wayread.constants import DEFAULT_THRESHOLD, WS_CHARS
 from wayread.functions.scoring import tier
 from wayread.operators.digest import GROUP, threshold_grid
 
@@ -18,7 +18,7 @@ def literal(text: Column, query: Column) -> Column:
 
 
 def flag_literal(items: DataFrame, query_col: str = "question") -> DataFrame:
-    return items.withColumn("is_literal", literal(F.col("text"), F.trim(query_col)))
+    return items.withColumn("is_literal", literal(F.col("text"), F.trim(query_col, F.lit(WS_CHARS))))
 
 
 def find_matches(

@@ -26,6 +26,7 @@ from wayread.constants import (
     MIN_QUERY_LEN,
     NEEDED_QUESTION,
     ROLE_QUESTION,
+    WS_CHARS,
 )
 from wayread.functions.scoring import as_float, known_role
 from wayread.functions.text import item_id
@@ -45,13 +46,13 @@ CALL_SCHEMA = (
 
 def valid_runs(runs: DataFrame, questions: DataFrame) -> DataFrame:
     """Runs with their question text; a question shorter than two characters runs nothing."""
-    asked = questions.withColumn("question", F.trim("question")).where(F.length("question") >= MIN_QUERY_LEN)
+    asked = questions.withColumn("question", F.trim("question", F.lit(WS_CHARS))).where(F.length("question") >= MIN_QUERY_LEN)
     return lookup_join(runs, asked, "question_id")
 
 
 def with_auto_question(runs: DataFrame, questions: DataFrame, auto: DataFrame) -> DataFrame:
     """Runs with their question text; a blank question is replaced by the document's own overview question."""
-    text = F.trim("question")
+    text = F.trim("question", F.lit(WS_CHARS))
     asked = lookup_join(runs, questions.withColumn("question", text), "question_id", how="left")
     own = auto.select("doc_id", F.col("question").alias("own"))
     too_short = F.coalesce(F.length("question"), F.lit(0)) < MIN_QUERY_LEN
@@ -165,7 +166,8 @@ def with_answers(requests: DataFrame, answers: DataFrame, hot_rows: int | None =
     Copies of one text share a key, so a key may own a large share of the requests. Spark splits such a
     partition while the join runs; with ``hot_rows``, for stored requests, the key is spread beforehand.
     """
-    parsed = answers.select("request_key", F.from_json("answers", ANSWERS_TYPE).alias("parsed"))
+    error = F.col("error") if "error" in answers.columns else F.lit(None).cast("string")
+    parsed = answers.select("request_key", F.from_json("answers", ANSWERS_TYPE).alias("parsed"), error.alias("error"))
     if hot_rows is None:
         return requests.join(parsed, "request_key", "left")
     return hot_key_join(requests, parsed, "request_key", "left", hot_rows)
@@ -187,12 +189,17 @@ def parse_answers(
     """One judgment per item: ``doc_id, question_id, idx, p, role, role_p, confidence``.
 
     ``on_missing='fail'`` fails the job at the first question without an answer; ``'default'`` reads a missing
-    answer as not relevant. A request without any answer (see ``on_error='skip'``) leaves its items unjudged.
+    answer as not relevant. A call with a recorded error (see ``on_error='skip'``) leaves its items unjudged; with
+    ``'fail'`` any other request whose reply is absent or unreadable fails the job.
     """
     if on_missing not in ("fail", "default"):
         raise ValueError("on_missing must be 'fail' or 'default'")
-    known = with_answers(requests, answers, hot_rows).where(F.col("parsed").isNotNull())
-    if on_missing == "fail":
+    known, read = with_answers(requests, answers, hot_rows), F.col("parsed").isNotNull()
+    if on_missing == "default":
+        known = known.where(read)
+    else:
+        lost = F.raise_error(F.concat(F.lit("reply absent or unreadable: "), F.col("request_key"))).cast("boolean")
+        known = known.where(F.when(read, True).when(F.col("error").isNotNull(), False).otherwise(lost))
         absent = F.array_except(_expected_ids(mode), F.map_keys("parsed"))
         checked = F.when(
             F.size(absent) > 0, F.raise_error(F.concat(F.lit("answers missing: "), absent[0])).cast("int")
@@ -261,8 +268,16 @@ def run_progress(requests: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def judge_from_table(items: DataFrame, runs: DataFrame, judgments: DataFrame) -> DataFrame:
-    """Items of every run with their recorded judgments; ``p`` stays null where there is none."""
+    """Items of every run with their recorded judgments; ``p`` stays null where there is none.
+
+    NaN and text that is no number read as 0, unknown roles as irrelevant. Of several records of one item the one with
+    the highest values in column order holds.
+    """
     key = ["doc_id", "question_id", "idx"]
+    rest = [c for c in judgments.columns if c not in key]
+    tidy = {c: F.when(F.col(c).isNotNull(), as_float(F.col(c))) for c in ("p", "role_p", "confidence") if c in rest}
+    tidy |= {"role": F.when(F.col("role").isNotNull(), known_role(F.col("role")))} if "role" in rest else {}
+    judgments = judgments.withColumns(tidy).groupBy(*key).agg(F.max(F.struct(*rest)).alias("_")).select(*key, "_.*")
     return items.join(runs.select("doc_id", "question_id"), "doc_id").join(judgments, key, "left")
 
 

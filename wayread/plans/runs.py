@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayread.constants import DEFAULT_MODEL, DEFAULT_THRESHOLD, DIGEST_WINDOW
+from wayread.constants import DEFAULT_MODEL, DEFAULT_THRESHOLD, DIGEST_WINDOW, FIND_WINDOW, MIN_QUERY_LEN, WS_CHARS
 from wayread.operators import judge as J
 from wayread.operators.blocks import html_blocks
 from wayread.operators.digest import reading_path, select_digest, signal_stats
@@ -38,6 +38,10 @@ def judge(
         if judgments is None:
             raise ValueError("backend 'table' needs judgments")
         return J.judge_from_table(items, runs, judgments)
+    # a question shorter than two characters runs nothing
+    text = F.trim("question", F.lit(WS_CHARS))
+    questions = questions.withColumn("question", text).where(F.length("question") >= MIN_QUERY_LEN)
+    runs = runs.join(questions.select("question_id"), "question_id", "left_semi")
     if backend == "lexical":
         return J.judge_lexically(items, runs, questions)
     if not callable(backend):
@@ -90,7 +94,7 @@ def find_in(
     backend: Judge = "lexical", **options: Any,
 ) -> DataFrame:
     """Matches among sentences or turns, with tier and literal flag."""
-    judged = judge(items, runs, questions, backend, **{"mode": "find", **options})
+    judged = judge(items, runs, questions, backend, **{"mode": "find", "size": FIND_WINDOW, **options})
     return find_matches(J.lookup_join(judged, questions.select("question_id", "question"), "question_id"), "question", threshold)
 
 
