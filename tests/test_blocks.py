@@ -127,9 +127,19 @@ def test_headlines(spark):
         "<title>T</title><h2>ab</h2><h2>Second level</h2>",
         "<p>nothing</p>",
         '<h1 aria-hidden="true">Hidden one</h1><!-- <h1>Comment</h1> --><script>"<h1>Script</h1>"</script><h1>Shown one</h1>',
+        "<!-- <title>Old title</title> --><script>'<title>Script title</title>'</script><title>New <!-- title --></title>",
+        '<!-- <meta property="og:title" content="Old share"> --><TITLE>Real title</TITLE>',
     ]
     got = {r.page_id: r.headline for r in B.page_headline(pages(spark, htmls)).collect()}
-    assert [got[i] for i in range(6)] == ["The real one & only", 'Shared "x"', "Long title", "Second level", None, "Shown one"]
+    assert [got[i] for i in range(8)] == [
+        "The real one & only", 'Shared "x"', "Long title", "Second level", None, "Shown one", "New <!-- title -->", "Real title"]
+
+
+def test_blocks_by_default_display(spark):
+    html = ("<body><figure>Picture</figure>tail<address>Street</address><dl><dt>Term</dt><dd>Meaning</dd></dl>"
+            "<datalist><option>a<option>b</datalist><p ARIA-HIDDEN='true'>no</p><span Aria-Hidden=\"true\">no</span>end")
+    (got,) = blocks_of(spark, [html])
+    assert got == [("figure", "Picture"), ("body", "tailend"), ("address", "Street"), ("dt", "Term"), ("dd", "Meaning")]
 
 
 def test_web_passages_and_questions(spark):

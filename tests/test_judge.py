@@ -165,6 +165,26 @@ def test_store_answers_copies_once(spark, tmp_path):
         assert len(f.readlines()) == 1
 
 
+def test_find_windows_are_clamped(spark, tmp_path):
+    items = spark.createDataFrame([(0, i, f"sentence number {i}") for i in range(30)], "doc_id long, idx int, text string")
+    qs = spark.createDataFrame([(0, "Number 7"), (1, "\u00a0 \t")], "question_id long, question string")
+    runs = spark.createDataFrame([(0, 0), (0, 1)], "doc_id long, question_id long")
+    for options, windows in (({}, 2), ({"size": 2}, 6), ({"size": 100}, 1)):
+        log = str(tmp_path / f"calls-{windows}.txt")
+
+        def fn(request):
+            with open(log, "a") as f:  # noqa: B023
+                f.write("call\n")
+            answers = {name: {"type": "noul", "noul": 0.9} for name in json.loads(request)["questions"]}
+            return {"answers": answers, "input_tokens": 1, "output_tokens": 1, "model": "fake"}
+
+        found = L.find_in(items, runs, qs, 0.45, fn, **options)
+        assert [r.idx for r in found.where("is_literal").orderBy("idx").collect()] == [7]
+        assert {r.question_id for r in found.select("question_id").distinct().collect()} == {0}
+        with open(log) as f:
+            assert len(f.readlines()) == windows
+
+
 def test_error_policy(spark, tmp_path):
     inner = table_of({0: (0.9, "evidence", 0.9)})
 

@@ -63,12 +63,15 @@ NEST_BLOCK_TAGS = [
     "div", "li", "td", "th", "blockquote", "pre", "article", "section", "dd", "dt", "figcaption",
     "summary", "caption", "label", "main", "aside", "header", "footer", "nav", "ul", "ol", "table",
     "tr", "body", "details", "fieldset", "form",
+    # blocks by their default display
+    "address", "center", "dialog", "dir", "dl", "figure", "hgroup", "legend", "menu", "search", "tbody", "tfoot", "thead",
 ]
 HEADING_TAGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 # Skipped elements whose content is not markup: the tokenizer takes them as one token.
 RAW_TEXT_TAGS = ["script", "style", "noscript", "textarea", "title", "iframe"]
 # Skipped elements whose content is markup: hidden from the open tag to the matching close tag.
-HIDDEN_TAGS = ["select", "svg", "canvas", "code", "kbd", "template", "head", "button"]
+# Options are hidden with the select or datalist they stand in, since their own end tags are often left out.
+HIDDEN_TAGS = ["select", "datalist", "svg", "canvas", "code", "kbd", "template", "head", "button"]
 
 # --- whitespace (the Unicode White_Space property), written for Java and RE2 alike ------------
 WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

@@ -11,7 +11,15 @@ from pyspark.sql import functions as F
 from wayread.constants import RAW_TEXT_TAGS
 from wayread.functions.arrays import let
 
-_RAW_ELEMENTS = "|".join(rf"<{t}\b[^>]*+(?:>|\z)(?s:.*?)(?:</{t}\b[^>]*+(?:>|\z)|\z)" for t in RAW_TEXT_TAGS)
+
+def _raw(tag: str) -> str:
+    return rf"<{tag}\b[^>]*+(?:>|\z)(?s:.*?)(?:</{tag}\b[^>]*+(?:>|\z)|\z)"
+
+
+_RAW_ELEMENTS = "|".join(_raw(t) for t in RAW_TEXT_TAGS)
+# comments and skipped elements; in the second form titles are the first group
+_UNSEEN = rf"(?i)<!--(?s:.*?)(?:-->|\z)|{_RAW_ELEMENTS}"
+_UNSEEN_BUT_TITLES = rf"(?i)({_raw('title')})|<!--(?s:.*?)(?:-->|\z)|{'|'.join(_raw(t) for t in RAW_TEXT_TAGS if t != 'title')}"
 _ATTRIBUTES = r"""(?:[^=>]++|=\s*+"[^"]*+(?:"|\z)|=\s*+'[^']*+(?:'|\z)|=)*+"""
 _TAG = rf"</?[a-zA-Z]{_ATTRIBUTES}(?:>|\z)"
 
@@ -64,13 +72,13 @@ def decode_entities(c: Column) -> Column:
 
 def without_tags(markup: Column) -> Column:
     """Text of a piece of markup: line breaks become spaces, other tags vanish, entities are decoded."""
-    visible = F.regexp_replace(markup, rf"(?i)<!--(?s:.*?)(?:-->|\z)|{_RAW_ELEMENTS}", "")
+    visible = F.regexp_replace(markup, _UNSEEN, "")
     return decode_entities(F.regexp_replace(F.regexp_replace(visible, r"(?i)<br\b[^>]*>", " "), _TAG, ""))
 
 
 def element_contents(html: Column, tag: str) -> Column:
     """Inner markup of every ``tag`` element outside comments and skipped elements, in document order."""
-    visible = F.regexp_replace(html, rf"(?i)<!--(?s:.*?)(?:-->|\z)|{_RAW_ELEMENTS}", "")
+    visible = F.regexp_replace(html, _UNSEEN, "")
     shown = F.regexp_extract_all(
         visible, F.lit(rf"(?i)<{tag}(?:\s{_ATTRIBUTES})?>((?s:.*?))(?:</{tag}\s*>|\z)"), F.lit(1)
     )
@@ -81,12 +89,14 @@ def element_contents(html: Column, tag: str) -> Column:
 
 
 def first_title(html: Column) -> Column:
-    return F.nullif(F.regexp_extract(html, r"(?i)<title\b[^>]*>((?s:.*?))(?:</title\s*>|\z)", 1), F.lit(""))
+    """Text of the first title outside comments and other skipped elements."""
+    seen = F.regexp_replace(html, _UNSEEN_BUT_TITLES, "$1")
+    return F.nullif(F.regexp_extract(seen, r"(?i)<title\b[^>]*>((?s:.*?))(?:</title\s*>|\z)", 1), F.lit(""))
 
 
 def share_title(html: Column) -> Column:
-    """Content of the first meta tag with an Open Graph or Twitter title."""
-    metas = F.regexp_extract_all(html, F.lit(rf"(?i)<meta\s{_ATTRIBUTES}>"), F.lit(0))
+    """Content of the first meta tag with an Open Graph or Twitter title, comments and skipped elements apart."""
+    metas = F.regexp_extract_all(F.regexp_replace(html, _UNSEEN, ""), F.lit(rf"(?i)<meta\s{_ATTRIBUTES}>"), F.lit(0))
     wanted = r"""(?i)\s(?:property\s*=\s*["']?og:title["'\s/>]|name\s*=\s*["']?twitter:title["'\s/>])"""
     meta = F.get(F.filter(metas, lambda m: m.rlike(wanted)), F.lit(0))
     content = F.concat(

@@ -47,7 +47,7 @@ def html_tokens(pages: DataFrame, doc: str = "page_id", html: str = "html") -> D
     a hidden region. Skipped elements with raw text are one token and never become rows.
     """
     structural = [*LEAF_BLOCK_TAGS, *NEST_BLOCK_TAGS, *HIDDEN_TAGS]
-    hiding = F.contains(F.col(html), F.lit("aria-hidden"))
+    hiding = F.col(html).rlike("(?i)aria-hidden")
 
     def named(token: Column) -> Column:
         name = F.when(token.rlike("^<(?:[!?/]|[a-zA-Z])"), tag_name(token))  # any other bracket is text

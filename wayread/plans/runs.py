@@ -93,8 +93,9 @@ def find_in(
     items: DataFrame, runs: DataFrame, questions: DataFrame, threshold: float = DEFAULT_THRESHOLD,
     backend: Judge = "lexical", **options: Any,
 ) -> DataFrame:
-    """Matches among sentences or turns, with tier and literal flag."""
-    judged = judge(items, runs, questions, backend, **{"mode": "find", "size": FIND_WINDOW, **options})
+    """Matches among sentences or turns, with tier and literal flag. A ``size`` outside 5 to 60 becomes the nearer of these."""
+    size = J.clamp_find_window(options.pop("size", FIND_WINDOW))
+    judged = judge(items, runs, questions, backend, **{"mode": "find", "size": size, **options})
     return find_matches(J.lookup_join(judged, questions.select("question_id", "question"), "question_id"), "question", threshold)
 
 
