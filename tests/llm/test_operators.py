@@ -241,6 +241,19 @@ def test_mixing(spark, docs, empty):
     assert mixing.copies(docs).count() == len(ROWS) and mixing.copies(empty).count() == 0
 
 
+def test_mixing_takes_whole_documents(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{i}" for _ in range(int(n))), f"s{i % 300}") for i, n in enumerate(rng.integers(1, 60, 400))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.copies(df, weights=(1.0, 2.0, 3.0)).collect()
+    assert all(r["taken"] == r["copies"] * r["size"] and abs(r["copies"] - r["target"] / r["source_size"]) < 1 for r in got)
+    goal = sum({r["source"]: r["target"] for r in got}.values())
+    assert abs(sum(r["taken"] for r in got) - goal) <= 120
+    texts = {i: t for i, t, _ in rows}
+    kept = mixing.mixed(df, weights=(1.0, 2.0, 3.0)).collect()
+    assert len(kept) == sum(r["copies"] for r in got) and all(r["text"] == texts[r["doc_id"]] for r in kept)
+
+
 def test_sharding(spark, docs, empty):
     rows = [(i, f"text {i % 50}", f"s{min(i % 9, 3)}") for i in range(5000)]
     got = sharding.interleaved(spark.createDataFrame(rows, "doc_id long, text string, source string"), shards=8).collect()

@@ -38,17 +38,17 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), sh
                        .otherwise(F.least("cap", F.col("water.level") * F.col("weight"))).alias("target"))
 
 
-def _pivot(units: Column, seed: int) -> Column:
-    """Sequential pivotal steps over an array of units (size, doc_id, turn, p): the open unit and what was decided.
+def _pivot(units: Column, seed: int, also: tuple[tuple[str, str], ...] = ()) -> Column:
+    """Sequential pivotal steps over an array of units (size, doc_id, turn, p, ``also``): the open unit and what was decided.
 
     What moves between two units is mass in words: one rises by it and the other falls by it until either reaches 0 or 1
     and is settled. The draw between the two directions keeps both expectations, and the words in sum do not change.
     """
-    unit = "struct<size:bigint,doc_id:bigint,turn:bigint,p:double>"
+    unit = "struct<size:bigint,doc_id:bigint,turn:bigint,p:double" + "".join(f",{n}:{t}" for n, t in also) + ">"
     start = F.struct(F.lit(None).cast(unit).alias("open"), F.expr(f"cast(array() as array<{unit}>)").alias("done"))
 
     def give(x: Column, p: Column) -> Column:
-        return F.struct(x["size"].alias("size"), x["doc_id"].alias("doc_id"), x["turn"].alias("turn"), p.cast("double").alias("p"))
+        return F.struct(*[x[n].alias(n) for n in ("size", "doc_id", "turn")], p.cast("double").alias("p"), *[x[n].alias(n) for n, _ in also])
 
     def step(state: Column, y: Column) -> Column:
         x = state["open"]
@@ -69,12 +69,12 @@ def _pivot(units: Column, seed: int) -> Column:
 
 
 def pivotal(units: DataFrame, seed: int = 0, fan_in: int = FAN_IN) -> DataFrame:
-    """``units`` (doc_id, turn, source, size: long, p in [0, 1)) -> (doc_id, source, size, take in [0, 1]).
+    """``units`` (doc_id, turn, source, size: long, p in [0, 1)) -> (doc_id, source, size, take, 0 or 1).
 
     A reduction tree in which a node holds about ``fan_in`` units, dealt out by a hash and never by source alone, so a
     hot source fills many nodes. The lowest nodes hold units of one source and nearly one size, so that few words move far.
-    Each node settles all its units but one and passes that one up. ``take`` is 0 or 1 but for the one unit that a source
-    has open at the root. Units without words move nothing and are settled by a draw of their own.
+    Each node settles all its units but one and passes that one up. What a source has open at its root is closed by
+    ``_closed``, so that whole units are taken. Units without words move nothing and are settled by a draw of their own.
     """
     spread = F.pmod(F.xxhash64("doc_id", "turn", F.lit(seed)), F.lit(1 << 30))
     kind = F.floor(F.log2(F.col("size") + 1.0) * 8)
@@ -94,24 +94,84 @@ def pivotal(units: DataFrame, seed: int = 0, fan_in: int = FAN_IN) -> DataFrame:
         keys = ["source", "kind", "node"] if level else ["source"]
         held = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("size", "doc_id", "turn", "p"))).alias("held"))
         held = settle(held.select(*keys, _pivot(held.held, seed + level).alias("state")))
-        done = held.select("source", F.explode("state.done").alias("d")).select("source", "d.*")
-        decided.append(done.select(*out(F.col("p"))))
-        rows = held.select("state.open.*", "source", *(["kind"] if level else []))
-    decided.append(rows.select(*out(F.col("p"))))
+        if level:
+            done = held.select("source", F.explode("state.done").alias("d")).select("source", "d.*")
+            decided.append(done.select(*out(F.col("p"))))
+            rows = held.select("state.open.*", "source", "kind")
+    decided.append(_closed(held, seed, fan_in).select(*out(F.col("p"))))
     whole = decided[0]
     for part in decided[1:]:
         whole = whole.union(part)
     return whole
 
 
+def _ends(opened: Column, done: Column, seed: int) -> Column:
+    """The two ways of closing a source that come nearest to its words, from below and from above: struct (low, high).
+
+    A way takes the open unit or not, and turns none, one or two of the units that the root has settled. ``words`` are
+    those it adds; of ways with equal words the one that turns fewest holds, then a seeded draw. The root settles about one
+    unit for each size class, so pairs are few.
+    """
+    at = F.transform(done, lambda x, k: F.struct(F.when(x["p"] > 0.5, -x["size"]).otherwise(x["size"]).alias("words"), k.alias("k")))
+    at = F.concat(F.array(F.struct(F.lit(0).cast("bigint").alias("words"), F.lit(-1).alias("k"))), at)
+    turned = F.flatten(F.transform(at, lambda x: F.transform(
+        F.filter(at, lambda y: (y["k"] > x["k"]) | (y["k"] == -1) & (x["k"] == -1)),
+        lambda y: F.struct((x["words"] + y["words"]).alias("words"), x["k"].alias("i"), y["k"].alias("j")))))
+    ways = F.flatten(F.transform(F.array(F.lit(0), F.lit(1)), lambda take: F.transform(turned, lambda t: F.struct(
+        (t["words"] + take * opened["size"]).alias("words"),
+        ((t["i"] >= 0).cast("int") + (t["j"] >= 0).cast("int")).alias("turns"),
+        draw(opened["doc_id"], opened["turn"], take, t["i"], t["j"], seed=seed).alias("lot"), take.alias("take"), t["i"].alias("i"), t["j"].alias("j")))))
+    mass = opened["p"] * opened["size"]
+    below = F.filter(ways, lambda w: w["words"] <= mass + 1e-6)
+    above = F.filter(ways, lambda w: w["words"] >= mass - 1e-6)
+    fewest = F.transform(below, lambda w: F.struct(w["words"].alias("words"), (-w["turns"]).alias("turns"), *[w[n].alias(n) for n in ("lot", "take", "i", "j")]))
+    return F.struct(
+        F.array_max(fewest).alias("low"),
+        F.array_min(above).alias("high"))
+
+
+def _closed(held: DataFrame, seed: int, fan_in: int) -> DataFrame:
+    """``held`` (source, state) of the sources' roots -> (source, size, doc_id, turn, p), p 0 or 1.
+
+    Each source can end a little under or over its words (``_ends``). What lies between is a unit of its own, and these
+    units are rounded against each other by pivotal steps over all sources, so the words in sum stay what they were; the
+    one that is left open in the end is drawn.
+    """
+    kind = dict(held.dtypes)["source"]
+    ends = settle(held.select("source", "state", _ends(F.col("state.open"), F.col("state.done"), seed + 2000).alias("ends")))
+    low, high = F.col("ends.low.words"), F.col("ends.high.words")
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("state.open.p") * F.col("state.open.size") - low) / (high - low)))
+    rows = settle(ends.where(low < high).select((high - low).alias("size"), "state.open.doc_id", "state.open.turn", p.alias("p"), "source"))
+    n, level, over = rows.count(), 0, []
+    while n > 1:
+        nodes = -(-n // fan_in)
+        node = F.pmod(F.xxhash64("source", F.lit(seed + 3000 + level)), F.lit(nodes))
+        nodes = rows.groupBy(node.alias("node")).agg(F.sort_array(F.collect_list(F.struct("size", "doc_id", "turn", "p", "source"))).alias("held"))
+        nodes = settle(nodes.select(_pivot(nodes.held, seed + 3000 + level, (("source", kind),)).alias("state")))
+        over.append(nodes.select(F.explode("state.done").alias("d")).select("d.source", F.col("d.p") > 0.5))
+        rows, level = nodes.select("state.open.*"), level + 1
+        n = rows.count()
+    last = rows.select("source", draw("doc_id", "turn", seed=seed + 4000) < F.col("p"))
+    for part in over:
+        last = last.union(part)
+    last = settle(last.toDF("s", "over"))
+    way = F.when(F.col("over"), F.col("ends.high")).otherwise(F.col("ends.low"))
+    ended = ends.join(last, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "state", way.alias("way"))
+    units = F.concat(
+        F.transform("state.done", lambda x, k: x.withField("p", F.when((k == F.col("way.i")) | (k == F.col("way.j")), 1 - x["p"]).otherwise(x["p"]))),
+        F.array(F.col("state.open").withField("p", F.col("way.take").cast("double"))))
+    return ended.select("source", F.explode(units).alias("u")).select("source", "u.*")
+
+
 def copies(documents: DataFrame, seed: int = 0, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5,
            most: float = 2.0) -> DataFrame:
     """``documents`` (doc_id, text, source) -> doc_id, size, source_size, target, source, copies, taken.
 
     A document's expected copies are target / source_size: the whole part is taken as it is, the fraction is rounded by
-    ``pivotal`` to none or one more. ``copies`` are whole copies, ``taken`` counts words: of one document per source, which
-    closes the sum, ``taken - copies * size`` words are taken besides, from its start. Every row counts, repeated ids and null ids too. Null and empty texts have size 0 and get copies like any
-    other, which take no words. Other columns are not looked at. Reruns over the same rows agree, for all draws go by
+    ``pivotal`` to none or one more. Only whole copies are taken: ``taken``, in words, is ``copies`` times the size. A source
+    of few documents can miss its target by up to one of them; what one misses others take more of, so the sum of all
+    sources is kept to one document. Every row counts, repeated ids and null ids too. Null and empty texts have size 0 and
+    get copies like any other, which take no words. Other columns are not looked at. Reruns over the same rows agree, for all draws go by
     ids, sizes and the seed; rows that are equal in both are alike. An empty table gives an empty result.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
@@ -124,24 +184,14 @@ def copies(documents: DataFrame, seed: int = 0, weights: tuple[float, ...] = (5.
     units = alike.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("turn"))
     units = units.join(goals, F.col("source").eqNullSafe(F.col("s")))
     taken = pivotal(units.select("doc_id", "turn", "source", "size", (F.col("rate") - F.floor("rate")).alias("p")), seed)
+    number = (F.floor("rate") + F.col("take")).cast("long")
     return taken.join(goals, F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "size", "source_size", "target", "source", (F.floor("rate") + F.floor("take")).cast("long").alias("copies"),
-        (F.floor("rate") * F.col("size") + F.round(F.col("take") * F.col("size"))).cast("long").alias("taken"))
+        "doc_id", "size", "source_size", "target", "source", number.alias("copies"), (number * F.col("size")).alias("taken"))
 
 
 def mixed(documents: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: rows of ``documents``, whose ids are unique, as often as ``copies`` says, and the parts of texts.
-
-    All columns stay. The last piece of a document that is taken in part ends after its last word taken.
-    """
-    plan = copies(documents, **options)
-    part = F.col("taken_") - F.col("copies_") * F.col("size_")
-    plan = plan.where("taken > 0 or copies > 0").select(
-        F.col("doc_id").alias("key_"), F.col("copies").alias("copies_"), F.col("taken").alias("taken_"), F.col("size").alias("size_"))
-    words = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")  # a word and the space after it, or space before the first
-    lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
-    cut = F.when(F.col("turn_") <= F.col("copies_"), F.col("text")).otherwise(
-        F.rtrim(F.array_join(F.slice(words, F.lit(1), (part + lead).cast("int")), "")))
-    turns = F.sequence(F.lit(1).cast("long"), F.col("copies_") + F.when(part > 0, 1).otherwise(0))
-    rows = documents.join(plan, F.col(key).eqNullSafe(F.col("key_"))).withColumn("turn_", F.explode(turns))
-    return rows.withColumn("text", cut).select(*[F.col(f"`{c}`") for c in documents.columns])
+    """The mix itself: rows of ``documents``, whose ids are unique, as often as ``copies`` says. All columns stay."""
+    plan = copies(documents, **options).where("copies > 0").select(F.col("doc_id").alias("key_"), F.col("copies").alias("copies_"))
+    rows = documents.join(plan, F.col(key).eqNullSafe(F.col("key_")))
+    rows = rows.withColumn("turn_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies_"))))
+    return rows.select(*[F.col(f"`{c}`") for c in documents.columns])
