@@ -103,6 +103,17 @@ def test_extraction(spark):
         assert len(chain) == best[-1][-1] and chain == sorted(set(chain))
 
 
+def test_extraction_keeps_slugs_and_wrappers():
+    kept = lambda page: " ".join(t for t, _ in extraction.lines(page))
+    assert kept('<article><h2 id="search-algorithms">S</h2><section id="related-work"><p>t</p></section><div class="section" id="notices">n</div></article>') == "S t n"
+    assert kept('<div class="no-sidebar"><p>body</p></div>') == "body"
+    assert kept('<form id="aspnetForm"><div class="menu">m</div><p>long body text</p></form>') == "long body text"
+    assert kept('<form id="login"><p>name and password</p></form><p>the body of this page</p>') == "the body of this page"
+    assert kept('<div class="sidebar"><div role="main">m</div></div>') == "m"
+    assert kept("<article><p>if <math><mi>x</mi><mo>=</mo></math></p><object><p>fall</p></object></article>") == "if x= fall"
+    assert kept('<article><p>a</p><div class="site-comments">many words of others here</div></article><div class="ad-slot">longer than the article</div>') == "a"
+
+
 def test_toxicity(spark, docs, empty):
     sf = "/root/testdata/sf0.1"
     documents, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
