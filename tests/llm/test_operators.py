@@ -114,6 +114,14 @@ def test_extraction_keeps_slugs_and_wrappers():
     assert kept('<article><p>a</p><div class="site-comments">many words of others here</div></article><div class="ad-slot">longer than the article</div>') == "a"
 
 
+def test_extraction_differences_marked_pages(spark):
+    body = lambda i: " ".join(f"b{i}x{k}" for k in range(20))
+    rows = [(i, f"http://h.example/a/{i:02}", f"<main><p>share this</p><p>{body(i)}</p></main><p>links</p>") for i in range(6)]
+    rows += [(6, "http://h.example/a/03x", rows[3][2].replace("links", "other")), (7, "http://t.example/a", f"<p>{body(7)}</p><article>teaser</article>")]
+    got = dict(extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "text").collect())
+    assert got == {i: body(i) for i in range(6)} | {6: body(3), 7: f"{body(7)} teaser"}
+
+
 def test_toxicity(spark, docs, empty):
     sf = "/root/testdata/sf0.1"
     documents, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
