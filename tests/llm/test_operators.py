@@ -122,6 +122,21 @@ def test_extraction_differences_marked_pages(spark):
     assert got == {i: body(i) for i in range(6)} | {6: body(3), 7: f"{body(7)} teaser"}
 
 
+def test_extraction_is_the_same_for_any_number_of_ranges(spark):
+    body = lambda i: " ".join(f"b{i}x{k}" for k in range(20))
+    rows = [(i, f"http://h{i % 2}.example/a/{i:03}", f"<p>menu</p><p>top {i // 10}</p><p>{body(i // 3)}</p><p>foot</p>") for i in range(60)]
+    rows += [(60, "http://h0.example/a/020x", "<p>menu</p><p>foot</p>")]
+    pages, got, held = spark.createDataFrame(rows, "page_id long, url string, html string"), [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "3", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got.append(dict(extraction.main_text(pages).select("page_id", "text").collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert got[0] == got[1] == got[2] and got[0][60] == ""
+    assert not any("menu" in t or "foot" in t for t in got[0].values()) and all(body(i // 3) in got[0][i] for i in range(60))
+
+
 def test_toxicity(spark, docs, empty):
     sf = "/root/testdata/sf0.1"
     documents, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
