@@ -83,6 +83,15 @@ def test_substring_dedup(docs, empty):
     assert "".join(sentences.split(LONG + A)) == LONG + A
 
 
+def test_substring_dedup_without_spaces(spark):
+    zh = "".join(f"这是第{k}个没有空格的中文句子，它在两篇文章里都出现过。" for k in range(8))
+    hi = " ".join(f"यह वाक्य संख्या {k} दोनों लेखों में आता है।" for k in range(8))
+    short = "好的。谢谢。"
+    rows = [(1, zh), (2, "开头不同。" + zh + "结尾不同。"), (3, hi), (4, "अलग शुरुआत। " + hi), (5, short), (6, short)]
+    got = dict(sentences.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text").collect())
+    assert got == {1: zh, 2: "开头不同。结尾不同。", 3: hi, 4: "अलग शुरुआत। ", 5: short, 6: short}
+
+
 def test_extraction(spark):
     page = ('<html><head><title>T</title><style>p{}</style></head><body><nav>menu<article class="post"><header><h1>Head &amp; line</h1><p>by me</p></header>'
             '<p>A <b>b</b>old  3 < 5<br>new</p><script>var t="</p>";</script><div class="comments"><p>bad</p><div>worse</div></div><p>end'

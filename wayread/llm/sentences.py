@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Where a sentence ends: marks and the space after them, or a line break with the space around it.
-BREAK = re.compile(r"[.!?…]+\s+|\s*\n\s*")
+BREAK = re.compile(r"[.!?…]+\s+|[。！？｡．।॥؟۔።፧፨។៕᠃᠉⸮]+[。！？｡．।॥؟۔!?…」』”’）)\]】》〉]*\s*|\s*\n\s*")
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -23,15 +23,17 @@ def split(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
-def runs(sentences: list[str], sentences_least: int, words_least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs(sentences: list[str], sentences_least: int, words_least: int, characters_least: int = 80) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first and last sentence of every run.
 
     From each sentence on, and up to each sentence, the shortest run of at least ``sentences_least`` sentences and
-    ``words_least`` words; and each sentence that holds twice as many words. Case and space do not count.
+    ``words_least`` words or ``characters_least`` characters, as some scripts put no space between words; and each sentence
+    that holds twice as many. Case and space do not count.
     """
     words = [s.lower().split() for s in sentences]
     n = len(words)
     count = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    length = np.concatenate([[0], np.cumsum([sum(map(len, w)) for w in words])])
     h = np.fromiter((xxhash.xxh3_64_intdigest(" ".join(w)) for w in words), np.uint64, n)
     with np.errstate(over="ignore"):
         power, prefix = np.ones(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
@@ -41,9 +43,12 @@ def runs(sentences: list[str], sentences_least: int, words_least: int) -> tuple[
         down = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, inverse))])
         prefix[1:] = np.cumsum((h + np.uint64(1)) * down[1:])
         at = np.arange(n)
-        end = np.maximum(np.searchsorted(count, count[:-1] + words_least) - 1, at + sentences_least - 1)  # last of the run from i
-        start = np.minimum(np.searchsorted(count, count[1:] - words_least, side="right") - 1, at - sentences_least + 1)  # first of the run up to i
-        long = np.flatnonzero(np.diff(count) >= 2 * words_least)
+        measures = ((count, words_least), (length, characters_least))
+        end = np.minimum(*(np.searchsorted(m, m[:-1] + least) - 1 for m, least in measures))
+        end = np.maximum(end, at + sentences_least - 1)  # last of the run from i
+        start = np.maximum(*(np.searchsorted(m, m[1:] - least, side="right") - 1 for m, least in measures))
+        start = np.minimum(start, at - sentences_least + 1)  # first of the run up to i
+        long = np.flatnonzero((np.diff(count) >= 2 * words_least) | (np.diff(length) >= 2 * characters_least))
         fits, back = end < n, start >= 0
         first = np.concatenate([at[fits], start[back], long])
         last = np.concatenate([end[fits], at[back], long])
@@ -69,7 +74,7 @@ def _later(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return entries, (entries["doc"] != entries["doc"][lead]) | (entries["first"] != entries["first"][lead])
 
 
-def repeated_spans(documents: DataFrame, sentences_least: int = 2, words_least: int = 16) -> DataFrame:
+def repeated_spans(documents: DataFrame, sentences_least: int = 2, words_least: int = 16, characters_least: int = 80) -> DataFrame:
     """``documents`` (doc_id, text) -> (doc_id, first, last): runs of sentences that are not the first of their kind.
 
     First is by doc_id, then by place. A task settles what repeats among its own rows and sends one entry per kind,
@@ -86,7 +91,7 @@ def repeated_spans(documents: DataFrame, sentences_least: int = 2, words_least:
                 text = text.as_py()
                 if doc is None or not text:
                     continue
-                key, first, last = runs(split(text), sentences_least, words_least)
+                key, first, last = runs(split(text), sentences_least, words_least, characters_least)
                 rows = np.empty(len(key), ENTRY)
                 rows["key"], rows["doc"], rows["first"], rows["last"] = key, doc, first, last
                 found.append(rows)
@@ -118,18 +123,19 @@ def repeated_spans(documents: DataFrame, sentences_least: int = 2, words_least:
     return packed.repartition(parts, "to").mapInArrow(match, "doc_id long, first int, last int")
 
 
-def deduplicated(documents: DataFrame, sentences_least: int = 2, words_least: int = 16) -> DataFrame:
+def deduplicated(documents: DataFrame, sentences_least: int = 2, words_least: int = 16, characters_least: int = 80) -> DataFrame:
     """``documents`` with repeated runs of sentences taken out of ``text``, and with ``sentences_`` and ``removed_``, their counts.
 
     A sentence goes if any run over it has been seen before, in a smaller doc_id or further up. What stays is joined as it
     stood, so a document without repeats does not change by a byte. Runs need ``sentences_least`` sentences and
-    ``words_least`` words, or one sentence of twice as many words: short phrases that repeat are left alone.
+    ``words_least`` words or ``characters_least`` characters, or one sentence of twice as many: shorter phrases that repeat
+    are left alone.
 
     Null and empty texts stay as they are. A text all of which was seen before becomes empty; its row stays. Rows with null
     ids stay unchanged. Rows that share an id count as one document. All other columns pass through, whatever their names
     but these two. An empty table stays empty.
     """
-    spans = repeated_spans(documents, sentences_least, words_least)
+    spans = repeated_spans(documents, sentences_least, words_least, characters_least)
     # per document the runs are no more than three per sentence of it
     spans = spans.groupBy(F.col("doc_id").alias("key_")).agg(F.collect_set(F.struct("first", "last")).alias("spans_"))
     joined = documents.join(spans, documents["doc_id"].cast("long") == F.col("key_"), "left")
