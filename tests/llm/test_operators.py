@@ -215,6 +215,18 @@ def test_packing(docs, empty):
     assert packing.packed(empty).count() == 0
 
 
+def test_packing_encodes_end_of_text_as_the_tokenizer_does(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>"), (3, "x<|endoftext|>\n"), (4, "<|endoftext"), (5, "<|other|>")]
+    want = {i: [*tokenizer.encode(text, add_special_tokens=False).ids, 2] for i, text in rows}
+    assert want[1] == [64, 220, 50256, 275, 2]
+    got = packing.packed(spark.createDataFrame(rows, "doc_id long, text string"), capacity=64).collect()
+    assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in got} == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
+
+
 def test_best_fit_matches_one_at_a_time():
     rng = np.random.default_rng(1)
     counts = {int(n): int(c) for n, c in zip(rng.integers(1, 101, 60), rng.integers(1, 40, 60))}

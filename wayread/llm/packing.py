@@ -20,7 +20,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 def encoder(path: str):
     """The tokenizer of a ranks file. It gives the ids of the JSON file of the same vocabulary several times faster.
 
-    Strings that look like special tokens are ordinary text.
+    The string <|endoftext|> is one token, as there: the one after all ranks.
     """
     import base64
 
@@ -29,7 +29,7 @@ def encoder(path: str):
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
 
 
 def default_vocabulary() -> str:
@@ -49,7 +49,7 @@ def pieces(documents: DataFrame, capacity: int = 1024, end: int = 2, vocabulary:
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                ids = np.append(encode(text.as_py() or "", disallowed_special=()), end).astype("<u4")
+                ids = np.append(encode(text.as_py() or "", allowed_special="all"), end).astype("<u4")
                 first = len(ids) % capacity or capacity
                 for k, stop in enumerate(range(first, len(ids) + 1, capacity)):
                     start = max(0, stop - capacity) if k else 0
