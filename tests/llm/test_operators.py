@@ -66,6 +66,13 @@ def test_minhash(docs, empty, percent):
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), min(seen), min(seen) == r["doc_id"])
 
 
+@pytest.mark.parametrize("percent", [95, 85, 80, 60, 50, 30])
+def test_bands_miss_few_pairs_at_any_threshold(percent):
+    rows = minhash.band_rows(percent)
+    assert (1 - (percent / 100) ** rows) ** (minhash.COORDINATES // rows) < 1e-6
+    assert percent != 85 or rows == 5
+
+
 def test_sketch_estimates_similarity():
     x = np.unique(minhash.mix(np.arange(1, 2001, dtype=np.uint64)))
     a, b = x[:1800], x[200:]

@@ -16,8 +16,8 @@ from wayread.llm.common import settle
 from wayread.llm.components import connected
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
-#: Coordinates of a sketch, and rows of a band: 25 bands of 5 miss a pair at 0.85 with a chance of 4e-7.
-COORDINATES, BAND = 128, 5
+#: Coordinates of a sketch, and the chance that no band of a pair at the threshold agrees, at most.
+COORDINATES, MISS = 128, 1e-6
 #: Documents in a tile when sketches are compared, and when whole sets are.
 TILE, SET_TILE = 2048, 256
 #: Standard deviations of the sketch's estimate by which a pair may fall short of the threshold before it is left out.
@@ -67,9 +67,16 @@ def sketch(elements: np.ndarray, t: int = COORDINATES) -> np.ndarray:
     return bins
 
 
-def sketches(documents: DataFrame, key: str, width: int) -> DataFrame:
+def band_rows(percent: int) -> int:
+    """The most rows of a band, 5 at most, that keep the chance to miss a pair at the threshold under ``MISS``: 5 at 85, 4 at 80."""
+    fits = [r for r in range(1, 6) if (1 - (percent / 100) ** r) ** (COORDINATES // r) < MISS]
+    return max(fits, default=1)
+
+
+def sketches(documents: DataFrame, key: str, width: int, percent: int) -> DataFrame:
     """Per document: ``key``, n (set size), same (128-bit hash of the set), bands (a hash for each), prints (a byte per coordinate)."""
-    bands = COORDINATES // BAND
+    rows_each = band_rows(percent)
+    bands = COORDINATES // rows_each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,8 +89,8 @@ def sketches(documents: DataFrame, key: str, width: int) -> DataFrame:
                         continue
                     bins = sketch(s)
                     h = np.arange(bands, dtype=np.uint64)
-                    for k in range(BAND):
-                        h = mix(h * _ODD + bins[k:bands * BAND:BAND])
+                    for k in range(rows_each):
+                        h = mix(h * _ODD + bins[k:bands * rows_each:rows_each])
                 rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), h.astype(np.int64), bins.astype(np.uint8).tobytes()))
             n, same, band, prints = zip(*rows) if rows else ((),) * 4
             yield pa.RecordBatch.from_arrays(
@@ -198,14 +205,14 @@ def near_duplicates(documents: DataFrame, percent: int = 80, width: int = 5) ->
     Classes that share a band are candidates. Each is first held against the smallest id of its bucket: of a large group
     that leaves a link per member. Where a bucket still holds several components, these are compared tile by tile, first
     by sketch and then, if near, by whole sets. Every link rests on whole sets; a pair is lost if no band agrees or its
-    sketch is ``SLACK`` deviations off, both with chances under 1e-6 at the threshold.
+    sketch is ``SLACK`` deviations off, both with chances under 1e-6 at the threshold (the first from 11 percent on).
 
     Null and empty texts and texts without words have an empty set: no links, kept. Texts of fewer words are one shingle.
     Repeated rows fall into one class; the rows with the smallest id all say kept. Rows with null ids are never linked and
     have a null component. An empty table gives no rows. Other columns are not looked at.
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text")
-    rows = settle(sketches(texts, "id", width))
+    rows = settle(sketches(texts, "id", width, percent))
     classes = settle(rows.where("n > 0 and id is not null").groupBy("same").agg(F.min("id").alias("id")))
     members = rows.join(classes.withColumnRenamed("id", "class"), "same", "left")
     reps = settle(members.where(F.col("id") == F.col("class")).dropDuplicates(["id"]).select("id", "bands", "prints"))
