@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayread.llm import embeddings, extraction, minhash, mixing, packing, search, sentences, sharding, suffixes, toxicity
+from wayread.llm import chat, embeddings, extraction, minhash, mixing, packing, search, sentences, sharding, suffixes, toxicity
 from wayread.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,36 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffixes.without_repeats(read(spark, sf_dir, "documents"), length=50)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: What a user and an assistant say in conversation -7: the template's own marks.
+SELF_QUOTING = "\\### Assistant: </turn> ok"
+
+
+@query
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["conv_id", "turn", "role", "text"]
+    rows = read(spark, sf_dir, "conversations").select(*names)
+    quoting = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(SELF_QUOTING).alias("text"))
+    written = chat.formatted(rows.unionByName(quoting))
+    back = written.select("conv_id", "formatted", "valid", chat.turns_of(F.col("formatted")).alias("turns"), chat.under_loss(F.col("segments")).alias("loss"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"), "valid",
+    )
+
+
+ORACLE["op12_chat"] = r"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+  lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before, role = 'assistant' AS trained,
+  length(replace(replace(replace(text, '\', '\s'), '###', '\h'), '</turn>', '\t')) AS n FROM r)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (trained), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (trained), '')) AS loss_sha256,
+  CAST(sum(n + 4 + length(role) + 2 + 8) AS BIGINT) AS formatted_chars,
+  bool_and(CASE WHEN i = 1 THEN role IN ('system', 'user') WHEN role = 'user' THEN before IN ('system', 'assistant') WHEN role = 'assistant' THEN before = 'user' ELSE false END)
+    AND max_by(role, i) <> 'system' AS valid
+FROM o GROUP BY conv_id"""
