@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayread.llm import chat, embeddings, extraction, minhash, mixing, packing, search, sentences, sharding, suffixes, toxicity
+from wayread.llm import chat, collocations, embeddings, extraction, minhash, mixing, packing, search, sentences, sharding, suffixes, toxicity
 from wayread.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,32 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   bool_and(CASE WHEN i = 1 THEN role IN ('system', 'user') WHEN role = 'user' THEN before IN ('system', 'assistant') WHEN role = 'assistant' THEN before = 'user' ELSE false END)
     AND max_by(role, i) <> 'system' AS valid
 FROM o GROUP BY conv_id"""
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"), least=30, longest=4, top=2000, absorbed=80)
+
+
+ORACLE["op13_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, 1 AS k, unnest(list_transform(generate_series(1, len(w) - 0), lambda i: array_to_string(list_slice(w, i, i + 0), ' '))) AS phrase FROM w WHERE len(w) >= 1
+      UNION ALL SELECT lang, 2 AS k, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 1), ' '))) AS phrase FROM w WHERE len(w) >= 2
+      UNION ALL SELECT lang, 3 AS k, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) AS phrase FROM w WHERE len(w) >= 3
+      UNION ALL SELECT lang, 4 AS k, unnest(list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))) AS phrase FROM w WHERE len(w) >= 4),
+f AS (SELECT lang, k AS words, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE words = 1 GROUP BY lang),
+c AS (SELECT lang, words, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE words >= 2 AND a >= 30),
+u AS (SELECT lang, words, phrase, a, w, unnest(generate_series(1, words - 1)) AS k FROM c),
+v AS (SELECT lang, phrase, a, k, array_to_string(list_slice(w, 1, k), ' ') AS head, array_to_string(list_slice(w, k + 1, words), ' ') AS rest FROM u),
+s AS (SELECT v.lang, v.phrase, v.a, v.k, x.a AS l, y.a AS r, CAST(CAST(v.a AS HUGEINT) * 2000000 // (x.a + y.a) AS BIGINT) AS score
+      FROM v JOIN f x ON x.lang = v.lang AND x.phrase = v.head JOIN f y ON y.lang = v.lang AND y.phrase = v.rest),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, array_to_string(list_slice(w, start, start + size - 1), ' ') AS phrase, max(a) AS longer
+      FROM c, (SELECT unnest([2, 3]) AS size), (SELECT unnest([1, 2, 3]) AS start) WHERE size < words AND start + size - 1 <= words GROUP BY 1, 2)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, b.l, b.r, n.n, b.score
+FROM b JOIN n USING (lang) LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase
+WHERE longer IS NULL OR CAST(longer AS HUGEINT) * 100 < CAST(b.a AS HUGEINT) * 80
+QUALIFY row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) <= 2000"""
