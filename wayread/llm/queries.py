@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayread.llm import chat, collocations, embeddings, extraction, minhash, mixing, packing, search, sentences, sharding, suffixes, toxicity
-from wayread.llm.common import read
+from wayread.functions.arrays import let
+from wayread.llm import chat, collocations, embeddings, extraction, minhash, mixing, packing, periodic, search, sentences, sharding, suffixes, toxicity
+from wayread.llm.common import WORD, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -176,3 +177,26 @@ SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a D
 FROM b JOIN n USING (lang) LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase
 WHERE longer IS NULL OR CAST(longer AS HUGEINT) * 100 < CAST(b.a AS HUGEINT) * 80
 QUALIFY row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) <= 2000"""
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeating(words):
+        n = F.size(words)
+        a = F.pmod(g, n).cast("int")
+        p = (F.floor((n - a) / (F.pmod(g, F.lit(8)) + 3)) + 1).cast("int")
+        block = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(words, 1, a), F.slice(block, 1, n - a)), " "))
+
+    planted = let(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), repeating)
+    found = periodic.periodic_runs(documents.withColumn("text", F.when(F.pmod(h, F.lit(10)) == 0, planted).otherwise(F.col("text"))))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    return found.withColumn("one", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("one.start").alias("start"), (-F.col("one.less")).alias("length"), F.col("one.period").alias("period"),
+        F.expr("(-1000 * one.less) div one.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
