@@ -52,32 +52,37 @@ def mixed(first: np.ndarray, second: np.ndarray, seed: int) -> np.ndarray:
 class Trie:
     """Counts of runs of words in hash containers under a shallow trie.
 
-    A container holds whole keys (ids of all words, four bytes each) below one prefix. One that has grown past its limit bursts:
-    each next word that owns much of it gets a container of its own, down to two words. ``size`` counts all entries.
+    A container holds whole keys (ids of all words, four bytes each) below one prefix, in a hash table for each size. One that has
+    grown past its limit bursts: each next word that owns much of it gets a container of its own, down to two words. ``size``
+    counts all entries.
     """
 
-    def __init__(self, burst: int):
-        self.burst, self.size = burst, 0
-        self.containers: dict[bytes, Counter] = {b"": Counter()}
+    def __init__(self, sizes: tuple[int, ...], burst: int):
+        self.sizes, self.burst, self.size = sizes, burst, 0
+        self.containers: dict[bytes, dict[int, Counter]] = {b"": self._empty()}
         self.limits: dict[bytes, int] = {}
 
+    def _empty(self) -> dict[int, Counter]:
+        return {size: Counter() for size in self.sizes}
+
     def add(self, rows: np.ndarray) -> None:
         """Count runs given as rows of word ids."""
         if not len(rows):
             return
-        keys = np.ascontiguousarray(rows.astype(_PAIR)).view(f"V{4 * rows.shape[1]}").ravel()
-        names = [b"", *(p for p in self.containers if p)]
+        words = rows.shape[1]
+        keys = np.ascontiguousarray(rows.astype(_PAIR)).view(f"V{4 * words}").ravel()
+        names = list(self.containers)
         owners = self._owners(rows, names)
         order = np.argsort(owners, kind="stable")
         keys, owners = keys[order], owners[order]
         ends = (np.flatnonzero(np.diff(owners)) + 1).tolist()
         for start, stop in zip([0, *ends], [*ends, len(keys)]):
             prefix = names[owners[start]]
-            container = self.containers[prefix]
+            container = self.containers[prefix][words]
             before = len(container)
             container.update(keys[start:stop].tolist())
             self.size += len(container) - before
-            if len(container) > self.limits.get(prefix, self.burst) and len(prefix) < 8:
+            if len(container) > self.limits.get(prefix, self.burst) and len(prefix) < min(8, 4 * words):
                 self._burst(prefix)
 
     def _owners(self, rows: np.ndarray, names: list[bytes]) -> np.ndarray:
@@ -95,28 +100,27 @@ class Trie:
 
     def _burst(self, prefix: bytes) -> None:
         """Give the next words that own a large part of a container containers of their own."""
-        container, cut = self.containers[prefix], len(prefix) + 4
-        shares = Counter(k[:cut] for k in container if len(k) >= cut)
-        heavy = {p for p, n in shares.items() if n >= self.burst // 64 + 2}
-        kept = Counter()
-        for p in heavy:
-            self.containers.setdefault(p, Counter())
-        for k, n in container.items():
-            (self.containers[k[:cut]] if k[:cut] in heavy else kept)[k] += n
-        self.containers[prefix] = kept
-        self.limits[prefix] = max(self.burst, 2 * len(kept))
-
-    def spilled(self, least: int) -> Iterator[Counter]:
-        """Take out the largest subtrees until at most ``least`` entries are left."""
-        for prefix in sorted(self.containers, key=lambda p: -len(self.containers[p])):
+        container, depth = self.containers[prefix], len(prefix) // 4
+        below = {n: list(counts) for n, counts in container.items() if n > depth and counts}
+        nexts = {n: np.frombuffer(b"".join(keys), _PAIR)[depth::n] for n, keys in below.items()}
+        owners, shares = np.unique(np.concatenate(list(nexts.values())), return_counts=True)
+        heavy = owners[shares >= self.burst // 64 + 2]
+        for n, keys in below.items():
+            for i in np.flatnonzero(np.isin(nexts[n], heavy)).tolist():
+                key = keys[i]
+                to = self.containers.get(key[: 4 * depth + 4]) or self.containers.setdefault(key[: 4 * depth + 4], self._empty())
+                to[n][key] += container[n].pop(key)
+        self.limits[prefix] = max(self.burst, 2 * max(map(len, container.values())))
+
+    def spilled(self, least: int) -> Iterator[dict[int, Counter]]:
+        """Empty the largest subtrees until at most ``least`` entries are left. The trie keeps its shape."""
+        sizes = {prefix: sum(map(len, c.values())) for prefix, c in self.containers.items()}
+        for prefix in sorted(sizes, key=lambda p: -sizes[p]):
             if self.size <= least:
                 break
-            container = self.containers.pop(prefix)
-            self.size -= len(container)
-            if not prefix:
-                self.containers[prefix] = Counter()
-            if container:
-                yield container
+            container, self.containers[prefix] = self.containers[prefix], self._empty()
+            self.size -= sizes[prefix]
+            yield container
 
 
 class Counting:
@@ -165,7 +169,7 @@ class Counting:
             near = real[:-1] & real[1:]
             at = np.flatnonzero(near)
             near[at] = self._frequent(lang, h[ids[at]], h[ids[at + 1]])
-        trie = self.tries.setdefault(lang, Trie(self.burst))
+        trie = self.tries.setdefault(lang, Trie(self.sizes, self.burst))
         for k in self.sizes:
             if len(ids) < k:
                 continue
@@ -189,15 +193,18 @@ class Counting:
     def spill(self, least: int) -> Iterator[tuple[str, int, bytes]]:
         """Sorted runs of the largest subtrees, one for each prefix partition they reach into, until ``least`` entries are left."""
         left = sum(t.size for t in self.tries.values())
-        words, hashes = list(self.ids), self._hashes()
-        rank = np.empty(len(words), np.int64)
+        words = list(self.ids)
+        rank = np.empty(len(words) + 1, np.int64)
         rank[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
+        rank[-1] = -1  # no word
+        firsts, others = np.array([*words, b""], object), np.array([*(b" " + w for w in words), b""], object)
         for lang in sorted(self.tries, key=lambda x: -self.tries[x].size):
             trie = self.tries[lang]
             before = trie.size
-            for container in trie.spilled(max(0, least - (left - before))):
-                yield from self._runs(lang, container, words, rank, hashes)
+            containers = list(trie.spilled(max(0, least - (left - before))))
             left -= before - trie.size
+            if before > trie.size:
+                yield from self._runs(lang, containers, rank, firsts, others)
         if not left:
             self._new_ids()  # words of runs that are gone need no ids
 
@@ -206,24 +213,29 @@ class Counting:
         if 1 in self.sizes:
             yield from ((lang, -1, n.to_bytes(8, "little")) for lang, n in self.totals.items())
 
-    def _runs(self, lang: str, container: Counter, words: list, rank: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[str, int, bytes]]:
-        by_size: dict[int, tuple[list, list]] = {}
-        for key, n in container.items():
-            keys, counts = by_size.setdefault(len(key) // 4, ([], []))
-            keys.append(key)
-            counts.append(n)
-        for size, (keys, counts) in by_size.items():
-            ids = np.frombuffer(b"".join(keys), _PAIR).reshape(-1, size).astype(np.int64)
-            count = np.array(counts, np.int64)
-            cell = (mixed(hashes[ids[:, 0]], hashes[ids[:, 1]] if size > 1 else np.zeros(len(ids), np.uint64), 7) % np.uint64(self.cells)).astype(np.int64)
-            order = np.lexsort([*(rank[ids[:, j]] for j in range(size - 1, -1, -1)), cell])
-            ids, count, cell = ids[order], count[order], cell[order]
-            ends = np.flatnonzero(np.diff(cell)) + 1
-            rows = ids.tolist()
-            for start, stop in zip([0, *ends.tolist()], [*ends.tolist(), len(rows)]):
-                phrases = b"\n".join([b" ".join([words[i] for i in row]) for row in rows[start:stop]])
-                run = len(phrases).to_bytes(8, "little") + phrases + count[start:stop].astype("<u4" if count[start:stop].max() < 1 << 32 else "<u8").tobytes()
-                yield lang, int(cell[start]), zstandard.compress(run, 1)
+    def _runs(self, lang: str, containers: list[dict[int, Counter]], rank: np.ndarray, firsts: np.ndarray, others: np.ndarray) -> Iterator[tuple[str, int, bytes]]:
+        ids, counts = [], []
+        for size in self.sizes:
+            keys = [k for c in containers for k in c[size]]
+            found = np.full((len(keys), max(self.sizes)), len(rank) - 1, np.int64)
+            found[:, :size] = np.frombuffer(b"".join(keys), _PAIR).reshape(-1, size)
+            ids.append(found)
+            counts.append(np.array([n for c in containers for n in c[size].values()], np.int64))
+        ids, count = np.concatenate(ids), np.concatenate(counts)
+        hashes = np.append(self._hashes()[: len(rank) - 1], np.uint64(0))
+        second = hashes[ids[:, 1]] if ids.shape[1] > 1 else np.zeros(len(ids), np.uint64)
+        cell = (mixed(hashes[ids[:, 0]], second, 7) % np.uint64(self.cells)).astype(np.int64)
+        order = np.lexsort([*(rank[ids[:, j]] for j in range(ids.shape[1] - 1, -1, -1)), cell])
+        ids, count, cell = ids[order], count[order], cell[order]
+        phrases = firsts[ids[:, 0]]
+        for j in range(1, ids.shape[1]):
+            phrases = phrases + others[ids[:, j]]
+        phrases, press = phrases.tolist(), zstandard.ZstdCompressor(level=1)
+        ends = (np.flatnonzero(np.diff(cell)) + 1).tolist()
+        for start, stop in zip([0, *ends], [*ends, len(phrases)]):
+            text, n = b"\n".join(phrases[start:stop]), count[start:stop]
+            run = len(text).to_bytes(8, "little") + text + n.astype("<u4" if n.max() < 1 << 32 else "<u8").tobytes()
+            yield lang, int(cell[start]), press.compress(run)
 
 
 def pair_bits(lang: str, first: np.ndarray, second: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -236,8 +248,9 @@ def pair_bits(lang: str, first: np.ndarray, second: np.ndarray, bits: int) -> li
 def _merged(lang: str, runs: list[bytes], least: int, bits: int) -> pa.Table:
     """Phrases of a prefix partition with at least ``least`` occurrences, and the places of pairs in the bit table."""
     total: dict[bytes, int] = {}
+    unpress = zstandard.ZstdDecompressor()
     for run in runs:
-        raw = zstandard.decompress(run)
+        raw = unpress.decompress(run)
         stop = 8 + int.from_bytes(raw[:8], "little")
         phrases = raw[8:stop].split(b"\n")
         counts = np.frombuffer(raw, "<u4" if len(raw) - stop == 4 * len(phrases) else "<u8", offset=stop).tolist()
