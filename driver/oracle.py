@@ -590,4 +590,14 @@ ORACLE: dict[str, str] = {
 ORACLE["streamed_labels"] = ORACLE["label_counts"]
 ORACLE["streamed_paths"] = "SELECT doc_id, question_id, ord, idx, label, score FROM selected"
 ORACLE["streamed_passages"] = "SELECT page_id, idx, text, heading FROM web"
+ORACLE["store_second_run"] = """
+    SELECT run, CASE run WHEN 1 THEN 0 WHEN 2 THEN early ELSE every END AS reused, CASE run WHEN 1 THEN early WHEN 2 THEN every - early ELSE 0 END AS asked,
+           CASE run WHEN 1 THEN early WHEN 2 THEN every - early ELSE 0 END AS done, CASE run WHEN 1 THEN early ELSE every END AS stored
+    FROM (SELECT count(DISTINCT request_key) AS every, count(DISTINCT request_key) FILTER (turn = 0) AS early FROM requests), (SELECT unnest([1, 2, 3])::BIGINT AS run)"""
+ORACLE["failed_windows"] = """
+    SELECT doc_id, question_id, window_no, 'ValueError: no reply' AS error, 1::BIGINT AS failures FROM requests WHERE length(passage) % 5 = 0"""
+ORACLE["retried_windows"] = """
+    SELECT doc_id, question_id, window_no, 1::BIGINT AS failures, 1::BIGINT AS replies, 0::BIGINT AS still_failed,
+           (SELECT count(DISTINCT request_key) FROM requests WHERE length(passage) % 5 = 0)::BIGINT AS asked
+    FROM requests WHERE length(passage) % 5 = 0"""
 ORACLE = {name: _with(sql) for name, sql in ORACLE.items()}

@@ -24,6 +24,7 @@ from wayread.plans import runs as L
 from wayread.plans.lineage import ensure_checkpoint_dir
 from wayread.plans.recorded import derived_runs, layout_from_lines, recorded, recorded_answers
 from wayread.sources import readers as R
+from wayread.sources import store as K
 from wayread.streaming import streams as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -341,24 +342,73 @@ def lexical_judge(spark, sf):
     return scored.select("doc_id", "question_id", "idx", "p", "role", "role_p")
 
 
-@query
-def function_judge(spark, sf):
+def by_length(fails: Callable[[str], bool] = lambda passages: False) -> Callable[[str], dict]:
     """A user function as judge, one call per window; it goes by the length of each passage."""
     roles = list(ROLE_NAMES)
 
-    def by_length(request: str) -> dict:
-        answers = {}
-        for line in json.loads(request)["state"]["passages"].split("\n"):
+    def judge(request: str) -> dict:
+        answers, passages = {}, json.loads(request)["state"]["passages"]
+        if fails(passages):
+            raise ValueError("no reply")
+        for line in passages.split("\n"):
             name, text = line.split("| ", 1)
             n, role = len(text), roles[len(text) % 7]
             answers[f"{name}_needed"] = {"type": "noul", "noul": n % 101 / 100}
             answers[f"{name}_role"] = {"type": "choice", "choice": role, "confidence": 0.5, "probabilities": {role: n % 11 / 10}}
         return {"answers": answers, "input_tokens": len(request), "output_tokens": 1, "model": "by_length"}
 
-    items = L.judge(passages(spark, sf), document_runs(spark, sf), questions(spark, sf), by_length)
+    return judge
+
+
+@query
+def function_judge(spark, sf):
+    items = L.judge(passages(spark, sf), document_runs(spark, sf), questions(spark, sf), by_length())
     return items.select("doc_id", "question_id", "idx", "p", "role", "role_p", "confidence")
 
 
+@query
+def store_second_run(spark, sf):
+    """Requests reused and asked by three runs over one store: the first questions, all questions, all again."""
+    store, rows, runs_ = f"{work_folder(spark)}/store", [], document_runs(spark, sf)
+    for run, part in enumerate([runs_.where(F.col("turn") == 0), runs_, runs_], 1):
+        counts = L.Counts()
+        L.judge(passages(spark, sf), part, questions(spark, sf), by_length(), store=store, counts=counts)
+        if run == 2:
+            K.compact(spark, store)
+        n = counts.read()
+        rows.append((run, n["reused"], n["asked"], n["done"], K.read_calls(spark, store).count()))
+    return spark.createDataFrame(rows, "run long, reused long, asked long, done long, stored long")
+
+
+def half_answered(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
+    """A store after a run in which windows of lengths that 5 divides got no reply, and that run's windows."""
+    store = f"{work_folder(spark)}/store"
+    L.judge(passages(spark, sf), document_runs(spark, sf), questions(spark, sf), by_length(lambda p: len(p) % 5 == 0), store=store, on_error="skip")
+    return store, requests_of(spark, sf).select("doc_id", "question_id", "window_no", "request_key")
+
+
+@query
+def failed_windows(spark, sf):
+    store, keys = half_answered(spark, sf)
+    return K.failed_windows(keys, store).select("doc_id", "question_id", "window_no", "error", "failures")
+
+
+@query
+def retried_windows(spark, sf):
+    """Windows of the run before that failed, as a second run over the store leaves them; that run asks nothing else."""
+    store, keys = half_answered(spark, sf)
+    counts = L.Counts()
+    L.judge(passages(spark, sf), document_runs(spark, sf), questions(spark, sf), by_length(), store=store, counts=counts)
+    calls = K.read_calls(spark, store).groupBy("request_key").agg(
+        F.count_if(F.col("outcome") == K.FAILED).alias("failures"), F.count_if(F.col("outcome") == K.DONE).alias("replies")
+    )
+    tried = keys.join(calls.where(F.col("failures") > 0), "request_key")
+    still = K.failed_windows(keys, store).groupBy().agg(F.count("*")).scalar()
+    return tried.select(
+        "doc_id", "question_id", "window_no", "failures", "replies", F.lit(counts.read()["asked"]).cast("long").alias("asked"), still.alias("still_failed")
+    )
+
+
 # --------------------------------------------------------------------------- digest
 
 

@@ -31,14 +31,14 @@ from wayread.constants import (
 from wayread.functions.scoring import as_float, known_role
 from wayread.functions.text import item_id
 from wayread.operators.joins import hot_key_join, lookup_join
+from wayread.sources.store import CALL_SCHEMA
 
 ANSWERS_TYPE = (
     "map<string, struct<type: string, noul: string, choice: string, confidence: string,"
     " probabilities: map<string, string>>>"
 )
-CALL_SCHEMA = (
-    "request_key string, answers string, input_tokens long, output_tokens long, model string, error string"
-)
+#: Replies that are handed on at once.
+REPLIES = 64
 
 
 # --------------------------------------------------------------------------- runs and windows
@@ -228,23 +228,19 @@ def parse_answers(
 # --------------------------------------------------------------------------- stored judgments
 
 
+def distinct_requests(requests: DataFrame) -> DataFrame:
+    """One row per content key, with the number of its copies."""
+    return requests.groupBy("request_key").agg(
+        F.first("request").alias("request"), F.first("n_items").alias("n_items"), F.count("*").alias("copies")
+    )
+
+
 def new_requests(requests: DataFrame, store: DataFrame) -> DataFrame:
     """Requests the store cannot answer, one row per content key.
 
     Duplicates are merged before the anti join, so a group of copies reaches it as a single row.
     """
-    once = requests.groupBy("request_key").agg(
-        F.first("request").alias("request"), F.first("n_items").alias("n_items"), F.count("*").alias("copies")
-    )
-    return once.join(store.select("request_key"), "request_key", "left_anti")
-
-
-def latest_answers(store: DataFrame) -> DataFrame:
-    """One answer per key; a key written twice keeps a successful answer."""
-    ok = store.where(F.col("answers").isNotNull())
-    return ok.groupBy("request_key").agg(
-        F.min_by(F.struct("answers", "input_tokens", "output_tokens", "model"), "answers").alias("call")
-    ).select("request_key", "call.*")
+    return distinct_requests(requests).join(store.select("request_key"), "request_key", "left_anti")
 
 
 def usage_totals(calls: DataFrame) -> DataFrame:
@@ -352,6 +348,8 @@ def call_judge(
     if on_error not in ("fail", "skip"):
         raise ValueError("on_error must be 'fail' or 'skip'")
 
+    columns = ["request_key", "answers", "input_tokens", "output_tokens", "model", "error"]
+
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
@@ -369,7 +367,10 @@ def call_judge(
                         raise
                     row["error"] = f"{type(error).__name__}: {error}"
                 rows.append(row)
-            yield pd.DataFrame(rows, columns=["request_key", "answers", "input_tokens", "output_tokens", "model", "error"])
+                if len(rows) == REPLIES:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     spread = requests.select("request_key", "request")
     if concurrency is not None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wayread.constants import DEFAULT_MODEL, DEFAULT_THRESHOLD, DIGEST_WINDOW, FIND_WINDOW, MIN_QUERY_LEN, WS_CHARS
@@ -15,24 +15,37 @@ from wayread.operators.digest import reading_path, select_digest, signal_stats
 from wayread.operators.find import find_matches
 from wayread.operators.passages import passages_text, passages_web
 from wayread.plans.lineage import settled
-from wayread.sources.readers import read_judgments
-from wayread.sources.sinks import write_judgments
+from wayread.sources import store as R
 
 Judge = str | Callable[[str], dict[str, Any]]
 
 
+class Counts:
+    """Different requests of one run: ``reused`` from the store, ``asked`` anew, ``done`` and ``failed`` of those.
+
+    Counted while the run's own jobs go over the rows; ``read`` waits for them.
+    """
+
+    def __init__(self):
+        self.before, self.after = Observation(), Observation()
+
+    def read(self) -> dict[str, int]:
+        return {**self.before.get, **self.after.get}
+
+
 def judge(
     items: DataFrame, runs: DataFrame, questions: DataFrame, backend: Judge = "lexical",
     judgments: DataFrame | None = None, mode: str = "digest", size: int = DIGEST_WINDOW,
     concurrency: int | None = None, on_error: str = "fail", on_missing: str = "fail", store: str | None = None,
-    model: str = DEFAULT_MODEL,
+    model: str = DEFAULT_MODEL, counts: Counts | None = None,
 ) -> DataFrame:
     """Items of every run with ``p`` and, for passages, ``role, role_p, confidence``.
 
     ``backend`` is ``'table'`` (recorded ``judgments``), ``'lexical'`` (built in) or a function that answers
     one request. With a ``store`` only requests without a stored answer are put to the function and the new
-    answers are added to it; without one the answers are checkpointed. Either way no request is asked twice
-    when results are read again or an executor is lost.
+    answers, and failures under ``on_error='skip'``, are added to it; without one the answers are checkpointed.
+    Either way no request is asked twice when results are read again or an executor is lost. ``counts`` takes
+    the numbers of reused, asked, done and failed requests.
     """
     if backend == "table":
         if judgments is None:
@@ -51,23 +64,38 @@ def judge(
     make = J.find_requests if mode == "find" else J.digest_requests
     requests = make(J.make_windows(asked, size), questions, model)
     keys = settled(requests.select("request_key", "doc_id", "question_id", "window_no", "n_items"))
-    answers = answer(requests, backend, store, concurrency, on_error)
+    answers = answer(requests, backend, store, concurrency, on_error, keys, counts)
     parsed = J.parse_answers(keys, answers, mode, size, on_missing, hot_rows=200_000)
     return asked.join(parsed, ["doc_id", "question_id", "idx"], "left")
 
 
 def answer(
     requests: DataFrame, fn: Callable[[str], dict[str, Any]], store: str | None = None,
-    concurrency: int | None = None, on_error: str = "fail",
+    concurrency: int | None = None, on_error: str = "fail", keys: DataFrame | None = None, counts: Counts | None = None,
 ) -> DataFrame:
-    """Answers for all requests, from the store where it has them."""
-    spark = requests.sparkSession
+    """Answers for all requests, from the store where it has them; only the prefixes of these keys are read there.
+
+    ``keys`` can name the requests' keys where they are at hand, so that requests are rendered once only.
+    """
+    spark, once = requests.sparkSession, J.distinct_requests(requests)
+    if store is None:
+        marked = once.withColumn("stored", F.lit(False))
+    else:
+        prefixes = R.prefixes_of(requests if keys is None else keys)
+        known = R.read_calls(spark, store, prefixes).where(F.col("outcome") == R.DONE)
+        marked = once.join(known.select("request_key", F.lit(True).alias("stored")).distinct(), "request_key", "left")
+        marked = marked.withColumn("stored", F.coalesce("stored", F.lit(False)))
+    if counts is not None:
+        marked = marked.observe(counts.before, F.count_if("stored").alias("reused"), F.count_if(~F.col("stored")).alias("asked"))
+    calls = J.call_judge(marked.where(~F.col("stored")), fn, concurrency, on_error)
+    if counts is not None:
+        answered = F.col("answers").isNotNull()
+        calls = calls.observe(counts.after, F.count_if(answered).alias("done"), F.count_if(~answered).alias("failed"))
+    calls = settled(calls)
     if store is None:
-        once = J.new_requests(requests, spark.createDataFrame([], "request_key string"))
-        return settled(J.call_judge(once, fn, concurrency, on_error))
-    fresh = J.new_requests(requests, read_judgments(spark, store))
-    write_judgments(J.call_judge(fresh, fn, concurrency, on_error), store)
-    return J.latest_answers(read_judgments(spark, store))
+        return calls
+    R.append_calls(calls, store)
+    return R.latest_calls(R.read_calls(spark, store, prefixes))
 
 
 def digest_documents(

@@ -10,9 +10,6 @@ LAYOUT_SCHEMA = (
     "doc_id long, page int, number int, x0 double, y0 double, x1 double, y1 double, page_y0 double, page_y1 double,"
     f" lines array<{LINE}>"
 )
-CALLS_SCHEMA = (
-    "request_key string, answers string, input_tokens long, output_tokens long, model string, error string"
-)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -58,12 +55,3 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     from wayread.operators.labels import LABEL_SCHEMA
 
     return spark.read.schema(LABEL_SCHEMA).parquet(path)
-
-
-def read_judgments(spark: SparkSession, path: str) -> DataFrame:
-    """Stored answers. A store that does not exist yet is empty."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], CALLS_SCHEMA)
-    return spark.read.schema(CALLS_SCHEMA).parquet(path)

@@ -1,4 +1,4 @@
-"""Tables and files the engine writes. Spark's committer makes each write all or nothing."""
+"""Tables and files the engine writes, but for judgments (see ``store``). Spark's committer makes each write all or nothing."""
 
 from __future__ import annotations
 
@@ -22,8 +22,3 @@ def append_labels(labels: DataFrame, path: str) -> None:
 
 def export_labels(labels: DataFrame, path: str, force: bool = False) -> None:
     labels.write.mode(_mode(force)).option("ignoreNullFields", "false").json(path)
-
-
-def write_judgments(calls: DataFrame, path: str) -> None:
-    """Add answers to the store. Failed calls are left out, so a later run asks again."""
-    calls.where(F.col("answers").isNotNull()).write.mode("append").parquet(path)
