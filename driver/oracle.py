@@ -181,6 +181,9 @@ TABLES: dict[str, str] = {
     "asked": "SELECT p.*, question_id, turn FROM passages p JOIN runs USING (doc_id)",
     "judged": _recorded("asked"),
     **_selected("selected", "judged"),
+    "dirty_judged": """
+        SELECT * REPLACE (CASE WHEN idx % 7 = 3 THEN 0 ELSE p END AS p, CASE WHEN idx % 5 = 4 THEN 'irrelevant' ELSE role END AS role) FROM judged""",
+    **_selected("dirty_selected", "dirty_judged"),
     "signal": f"""
         SELECT doc_id, question_id, sum(w)::BIGINT AS judged_words,
                coalesce(sum(w) FILTER (p >= 0.45::DOUBLE AND role <> 'irrelevant'), 0)::BIGINT AS signal_words,
@@ -590,6 +593,8 @@ ORACLE: dict[str, str] = {
 ORACLE["streamed_labels"] = ORACLE["label_counts"]
 ORACLE["streamed_paths"] = "SELECT doc_id, question_id, ord, idx, label, score FROM selected"
 ORACLE["streamed_passages"] = "SELECT page_id, idx, text, heading FROM web"
+ORACLE["streamed_dirty_paths"] = "SELECT doc_id, question_id, ord, idx, label, score FROM dirty_selected"
+ORACLE["streamed_pages_resent"] = "SELECT doc_id, question_id, ord, idx, label, text FROM web_selected WHERE doc_id % 10 <> 0"
 ORACLE["store_second_run"] = """
     SELECT run, CASE run WHEN 1 THEN 0 WHEN 2 THEN early ELSE every END AS reused, CASE run WHEN 1 THEN early WHEN 2 THEN every - early ELSE 0 END AS asked,
            CASE run WHEN 1 THEN early WHEN 2 THEN every - early ELSE 0 END AS done, CASE run WHEN 1 THEN early ELSE every END AS stored

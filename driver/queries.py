@@ -690,4 +690,32 @@ def streamed_passages(spark, sf):
     folder = work_folder(spark)
     pages(spark, sf).write.parquet(f"{folder}/pages")
     drain(S.stream_documents(spark, f"{folder}/pages", f"{folder}/passages"), folder)
-    return spark.read.parquet(f"{folder}/passages").select("page_id", "idx", "text", "heading")
+    return S.current_passages(spark, f"{folder}/passages").select("page_id", "idx", "text", "heading")
+
+
+@query
+def streamed_dirty_paths(spark, sf):
+    """Judgments that arrive with NaN, with roles nobody knows, and with the first window of every run twice."""
+    folder, i = work_folder(spark), F.col("idx")
+    rows = judged(spark, sf).select(
+        "doc_id", "question_id", "idx", "page", "heading", "text", F.when(i % 7 == 3, F.lit(float("nan"))).otherwise(F.col("p")).alias("p"),
+        F.when(i % 5 == 4, "mystery").otherwise(F.col("role")).alias("role"), "role_p", "confidence", F.lit(1).cast("long").alias("run_id"),
+    )
+    for part in (rows.unionByName(rows.where(i < DIGEST_WINDOW)), rows.where(i < DIGEST_WINDOW)):
+        part.write.mode("append").parquet(f"{folder}/judged")
+        drain(S.stream_judgments(spark, f"{folder}/judged", f"{folder}/out"), folder)
+    return S.current(spark, f"{folder}/out", "paths").select("doc_id", "question_id", "ord", "idx", "label", "score")
+
+
+@query
+def streamed_pages_resent(spark, sf):
+    """Pages judged as they arrive. Odd ones come twice at once, even ones cut in half and then whole; those that 10 divides end empty."""
+    folder, p, whole = work_folder(spark), F.col("page_id"), pages(spark, sf)
+    half = F.substring(F.col("html"), F.lit(1), F.floor(F.length("html") / 2).cast("int"))
+    first = whole.withColumn("html", F.when(p % 2 == 0, half).otherwise(F.col("html"))).unionByName(whole.where(p % 2 == 1))
+    again = whole.where(p % 2 == 0).withColumn("html", F.when(p % 10 == 0, "").otherwise(F.col("html")))
+    page_runs = runs(spark, sf, whole.select("page_id"), "page_id")
+    for part in (first, again):
+        part.write.mode("append").parquet(f"{folder}/pages")
+        drain(S.stream_digests(spark, f"{folder}/pages", f"{folder}/out", lambda items: recorded(items.join(page_runs, "doc_id"))), folder)
+    return S.current_digests(spark, f"{folder}/out", "paths").select("doc_id", "question_id", "ord", "idx", "label", "text")

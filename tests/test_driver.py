@@ -27,7 +27,8 @@ def test_every_query_has_sql_with_the_same_columns(spark, db, sf_dir):
     queries, sql = E.queries(), E.oracle_sql()
     unproven = {n for n in queries if n == "pipeline" or n.startswith("op")}
     assert set(queries) - unproven == set(sql) - unproven
-    for name in set(queries) - unproven - {"function_judge", "streamed_labels", "streamed_paths", "streamed_passages"}:
+    runs = {"function_judge", "store_second_run", "failed_windows", "retried_windows"}  # these work while they are built
+    for name in set(queries) - unproven - runs - {n for n in queries if n.startswith("streamed_")}:
         columns = [r[0] for r in db.execute("DESCRIBE " + sql[name]).fetchall()]
         assert sorted(queries[name](spark, sf_dir).columns) == sorted(columns), name
 

@@ -62,5 +62,59 @@ def test_pages_are_cut_as_they_arrive(spark, tmp_path):
     for i in range(2):
         spark.createDataFrame([(i, "u", f"<h1>Top {i}</h1><p>{'word ' * 20}</p>")], schema).write.mode("append").parquet(source)
         drain(S.stream_documents(spark, source, table), ck)
-    got = sorted((r.page_id, r.heading) for r in spark.read.parquet(table).collect())
+    got = sorted((r.page_id, r.heading) for r in S.current_passages(spark, table).collect())
     assert got == [(0, "Top 0"), (1, "Top 1")]
+
+
+def page(i, words, heading="Top"):
+    return (i, "u", f"<h1>{heading}</h1>" + "".join(f"<p>{w} {'word ' * 20}</p>" for w in words))
+
+
+def test_pages_sent_again_replace_what_they_had(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "FOLD", 2)
+    source, table, ck = (str(tmp_path / n) for n in ("pages", "out", "ck"))
+    sent = [[page(1, "ab"), page(2, "c"), page(2, "c")], [page(1, "x")], [page(3, "yz"), (2, "u", "")], [page(2, "q", "New")], [page(1, "")]]
+    now = {}
+    for rows in sent:
+        spark.createDataFrame(rows, S.PAGE_SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        drain(S.stream_digests(spark, source, table, lambda p: p.select("*", F.lit(5).cast("long").alias("question_id"), F.lit(0.9).alias("p"), F.lit("evidence").alias("role"), F.lit(0.5).alias("role_p"), F.lit(0.5).alias("confidence"))), ck)
+        for i, _, html in rows:
+            now[i] = html.count("<p>")
+        judged, paths, signal = (S.current_digests(spark, table, n) for n in ("judged", "paths", "signal"))
+        counts = {r.doc_id: r["count"] for r in judged.groupBy("doc_id").count().collect()}
+        assert counts == {i: n for i, n in now.items() if n}
+        assert {r.doc_id: r["count"] for r in paths.groupBy("doc_id").count().collect()} == counts
+        assert sorted(r.doc_id for r in signal.collect()) == sorted(counts)
+
+
+def test_tables_stay_bounded_over_many_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "FOLD", 4)
+    monkeypatch.setattr(S, "BUCKETS", 2)
+    rng = random.Random(4)
+    source, table, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    want, most = {}, 0
+    for batch in range(20):
+        rows = judged_rows(rng, batch % 3, 1, 4, rng.randint(0, 12))
+        spark.createDataFrame(rows, S.JUDGED_SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        drain(S.stream_judgments(spark, source, table), ck)
+        want.setdefault(batch % 3, {}).update({r[2]: r for r in rows})
+        most = max(most, sum(f.suffix == ".parquet" for f in (tmp_path / "out" / "judged").rglob("bucket=0/*")))
+    assert most <= 2 * (4 + 1)
+    found = {}
+    for r in S.current(spark, table, "paths").collect():
+        found.setdefault(r.doc_id, []).append((r.ord, r.idx, r.is_catch))
+    for doc, rows in want.items():
+        assert sorted(found.get(doc, [])) == plain.reading_path([(r[2], r[6], r[7], r[8]) for _, r in sorted(rows.items())], 0.45)
+
+
+def test_dirty_judgments(spark, tmp_path):
+    source, table, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    rows = [(1, 0, 0, 1, "", "some words", float("nan"), "evidence", 0.5, 0.5, 1), (1, 0, 1, 1, "", "some words", 0.9, "mystery", 0.5, 0.5, 1),
+            (1, 0, 2, 1, "", "some words", 0.8, "evidence", float("nan"), 0.5, 1), (1, 0, 2, 1, "", "some words", 0.7, "evidence", 0.5, 0.5, 1),
+            (1, 0, 3, 1, "", "some words", None, None, None, None, 1)]
+    spark.createDataFrame(rows, S.JUDGED_SCHEMA).write.parquet(source)
+    drain(S.stream_judgments(spark, source, table), ck)
+    (path,) = S.current(spark, table, "paths").collect()
+    assert (path.idx, path.score) == (2, 0.8 * 0.9 * 0.8)
+    (signal,) = S.current(spark, table, "signal").collect()
+    assert (signal.judged_words, signal.signal_words) == (6, 2)

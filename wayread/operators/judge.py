@@ -263,17 +263,22 @@ def run_progress(requests: DataFrame, answers: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- judges
 
 
+def tidy_judgments(judgments: DataFrame) -> DataFrame:
+    """Judgments as they count: NaN and text that is no number read as 0, unknown roles as irrelevant; nulls stay."""
+    has = judgments.columns
+    tidy = {c: F.when(F.col(c).isNotNull(), as_float(F.col(c))) for c in ("p", "role_p", "confidence") if c in has}
+    tidy |= {"role": F.when(F.col("role").isNotNull(), known_role(F.col("role")))} if "role" in has else {}
+    return judgments.withColumns(tidy)
+
+
 def judge_from_table(items: DataFrame, runs: DataFrame, judgments: DataFrame) -> DataFrame:
     """Items of every run with their recorded judgments; ``p`` stays null where there is none.
 
-    NaN and text that is no number read as 0, unknown roles as irrelevant. Of several records of one item the one with
-    the highest values in column order holds.
+    Judgments are tidied first. Of several records of one item the one with the highest values in column order holds.
     """
     key = ["doc_id", "question_id", "idx"]
     rest = [c for c in judgments.columns if c not in key]
-    tidy = {c: F.when(F.col(c).isNotNull(), as_float(F.col(c))) for c in ("p", "role_p", "confidence") if c in rest}
-    tidy |= {"role": F.when(F.col("role").isNotNull(), known_role(F.col("role")))} if "role" in rest else {}
-    judgments = judgments.withColumns(tidy).groupBy(*key).agg(F.max(F.struct(*rest)).alias("_")).select(*key, "_.*")
+    judgments = tidy_judgments(judgments).groupBy(*key).agg(F.max(F.struct(*rest)).alias("_")).select(*key, "_.*")
     return items.join(runs.select("doc_id", "question_id"), "doc_id").join(judgments, key, "left")
 
 

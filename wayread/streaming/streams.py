@@ -1,11 +1,17 @@
 """Structured Streaming: verdicts, judgments and documents that arrive over time.
 
-Every micro-batch writes its own ``batch_id`` partition and replaces it when it is replayed, so a restarted
-query repeats nothing and loses nothing. No state has to fit in memory.
+Every micro-batch writes its own ``batch_id`` folder and replaces it when it is replayed, so a restarted query repeats nothing
+and loses nothing. No state has to fit in memory.
+
+Tables do not grow with the number of batches. Batches come in generations of ``FOLD``; the first batch of a generation folds
+what is current into a base (``batch_id=-1``), and the others add to it. Two generations are kept, in two slots that replace
+each other, so a batch reads at most one base and ``FOLD`` batches, and a replayed fold still finds what it folds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -14,6 +20,7 @@ from pyspark.sql.types import StructType
 from wayread.constants import DEFAULT_THRESHOLD
 from wayread.operators.blocks import html_blocks
 from wayread.operators.digest import reading_path, select_digest, signal_stats
+from wayread.operators.judge import tidy_judgments
 from wayread.operators.labels import LABEL_SCHEMA, label_counts
 from wayread.operators.passages import passages_web
 
@@ -22,7 +29,10 @@ JUDGED_SCHEMA = (
     "doc_id long, question_id long, idx int, page int, heading string, text string, p double, role string,"
     " role_p double, confidence double, run_id long"
 )
+PAGE_SCHEMA = "page_id long, url string, html string"
 BUCKETS = 64
+FOLD = 16
+BASE = -1
 
 
 def stream_labels(spark: SparkSession, path: str, by: tuple[str, ...] = ("mode",)) -> DataFrame:
@@ -36,15 +46,69 @@ def latest_runs(judged: DataFrame) -> DataFrame:
     return judged.join(newest, [*GROUP, "run_id"], "left_semi")
 
 
-def _bucket(df: DataFrame) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64(*GROUP), F.lit(BUCKETS)).cast("int"))
+# --------------------------------------------------------------------------- tables that batches add to
+
+
+def _slot(table: str, name: str, batch_id: int) -> str:
+    """Folder of the generation that a batch belongs to."""
+    return f"{table}/{name}/slot={batch_id // FOLD % 2}"
 
 
-def _write_batch(df: DataFrame, table: str, batch_id: int, *by: str) -> None:
-    """Write one batch. Rows are brought together by bucket first; Spark splits a bucket that is too large."""
+def _write(df: DataFrame, table: str, name: str, batch_id: int, *by: str) -> None:
+    """Write one batch. Rows are brought together by folder first; Spark splits a folder that is too large."""
     if by:
         df = df.hint("rebalance", *by)
-    df.write.mode("overwrite").partitionBy(*by).parquet(f"{table}/batch_id={batch_id}")
+    df.write.mode("overwrite").partitionBy(*by).parquet(f"{_slot(table, name, batch_id)}/batch_id={batch_id}")
+
+
+def _write_base(df: DataFrame, table: str, name: str, batch_id: int, *by: str) -> None:
+    """Start the generation of ``batch_id`` with ``df``; what its slot held two generations ago goes."""
+    if by:
+        df = df.hint("rebalance", *by)
+    based = df.withColumn("batch_id", F.lit(BASE).cast("long"))
+    based.write.mode("overwrite").partitionBy("batch_id", *by).parquet(_slot(table, name, batch_id))
+
+
+def _generation(spark: SparkSession, table: str, name: str, batch_id: int, schema: str | StructType | None = None) -> DataFrame:
+    """All rows of the generation of ``batch_id`` up to that batch, with ``batch_id``."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    rows = reader.option("basePath", f"{table}/{name}").parquet(_slot(table, name, batch_id))
+    return rows.drop("slot").withColumn("batch_id", F.col("batch_id").cast("long")).where(F.col("batch_id") <= batch_id)
+
+
+def _newest(rows: DataFrame, marks: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows that the newest batch of their key wrote; ``marks`` has a row for each key that a batch wrote anew."""
+    newest = marks.groupBy(*key).agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(newest, [*key, "batch_id"], "left_semi").drop("batch_id")
+
+
+def _fold(spark: SparkSession, table: str, names: Sequence[str], marks: str, key: Sequence[str], batch_id: int) -> None:
+    """Bases of a new generation: of each key what the newest batch wrote."""
+    if batch_id and batch_id % FOLD == 0:
+        known = _generation(spark, table, marks, batch_id - 1)
+        for name in names:
+            _write_base(_newest(_generation(spark, table, name, batch_id - 1), known, key), table, name, batch_id)
+
+
+def current(spark: SparkSession, table: str, name: str, marks: str = "signal", key: Sequence[str] = GROUP) -> DataFrame:
+    """What is current of a table: of each key what its newest batch wrote. A key whose last batch left nothing has nothing."""
+    last = spark.read.parquet(f"{table}/{marks}").agg(F.max("batch_id")).first()[0]
+    return _newest(_generation(spark, table, name, last), _generation(spark, table, marks, last), key)
+
+
+# --------------------------------------------------------------------------- judgments
+
+
+def _bucket(df: DataFrame) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(*GROUP), F.lit(BUCKETS)).cast("int"))
+
+
+def _held(judged: DataFrame) -> DataFrame:
+    """One row for each item of the newest run: of the newest batch, and in that with the highest values in column order."""
+    key = [*GROUP, "idx"]
+    rest = [c for c in judged.columns if c not in key and c != "batch_id"]
+    rows = latest_runs(judged).groupBy(*key).agg(F.max(F.struct("batch_id", *rest)).alias("_"))
+    return rows.select(*key, *[F.col(f"_.{c}").alias(c) for c in rest])
 
 
 def stream_judgments(
@@ -52,42 +116,79 @@ def stream_judgments(
 ) -> DataStreamWriter:
     """Keep reading paths and signal up to date while judgments arrive.
 
-    Writes three tables under ``table``: ``judged``, ``paths`` and ``signal``. Only runs touched by a batch are
-    selected again; their buckets are the only partitions read. Read the results with ``current``.
+    Writes three tables under ``table``: ``judged``, ``paths`` and ``signal``. Judgments are tidied as recorded ones are; an
+    item that comes twice counts once. Only runs touched by a batch are selected again; their buckets are the only
+    partitions read. Read the results with ``current``.
     """
+    schema = f"{JUDGED_SCHEMA}, batch_id long, bucket int"
 
     def update(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        _write_batch(_bucket(batch), f"{table}/judged", batch_id, "bucket")
+        if batch_id and batch_id % FOLD == 0:
+            _write_base(_held(_generation(session, table, "judged", batch_id - 1, schema)), table, "judged", batch_id, "bucket")
+        _fold(session, table, ("paths", "signal"), "signal", GROUP, batch_id)
+
+        _write(_bucket(tidy_judgments(batch)), table, "judged", batch_id, "bucket")
         touched = _bucket(batch.select(*GROUP).distinct())
-        history = (
-            session.read.option("basePath", f"{table}/judged").schema(f"{JUDGED_SCHEMA}, batch_id long, bucket int")
-            .parquet(f"{table}/judged")
-            .where(F.col("batch_id") <= batch_id)
-            .join(touched, ["bucket", *GROUP], "left_semi")
-        )
-        newest = Window.partitionBy(*GROUP, "idx").orderBy(F.desc("batch_id"))
-        rows = (
-            latest_runs(history).withColumn("age", F.row_number().over(newest)).where("age = 1")
-            .drop("age", "bucket", "batch_id")
-        )
-        _write_batch(signal_stats(rows, threshold), f"{table}/signal", batch_id)
-        _write_batch(reading_path(select_digest(rows, threshold)), f"{table}/paths", batch_id)
+        buckets = [r[0] for r in touched.select("bucket").distinct().collect()]
+        history = _generation(session, table, "judged", batch_id, schema).where(F.col("bucket").isin(buckets))
+        rows = _held(history.join(touched, ["bucket", *GROUP], "left_semi")).drop("bucket")
+        _write(signal_stats(rows, threshold), table, "signal", batch_id)
+        _write(reading_path(select_digest(rows, threshold)), table, "paths", batch_id)
 
     return spark.readStream.schema(JUDGED_SCHEMA).parquet(path).writeStream.foreachBatch(update)
 
 
-def current(spark: SparkSession, table: str, name: str) -> DataFrame:
-    """Newest version of ``paths`` or ``signal``. A run whose last batch left no path has none."""
-    rows = spark.read.parquet(f"{table}/{name}")
-    newest = spark.read.parquet(f"{table}/signal").groupBy(*GROUP).agg(F.max("batch_id").alias("batch_id"))
-    return rows.join(newest, [*GROUP, "batch_id"], "left_semi").drop("batch_id")
+# --------------------------------------------------------------------------- pages
+
 
+def _last_sent(pages: DataFrame) -> DataFrame:
+    """One row for each page of a batch; of several the one with the greatest values, in column order."""
+    rest = [c for c in pages.columns if c != "page_id"]
+    return pages.groupBy("page_id").agg(F.max(F.struct(*rest)).alias("_")).select("page_id", "_.*")
 
-def stream_documents(spark: SparkSession, path: str, table: str, schema: str | StructType = "page_id long, url string, html string") -> DataStreamWriter:
-    """Cut pages into passages as they arrive: ``table/batch_id=N``."""
+
+def stream_documents(spark: SparkSession, path: str, table: str, schema: str | StructType = PAGE_SCHEMA) -> DataStreamWriter:
+    """Cut pages into passages as they arrive: tables ``pages`` and ``passages``.
+
+    A page that is sent again replaces all its passages, also by none. Read them with ``current_passages``.
+    """
 
     def cut(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(passages_web(html_blocks(batch)), table, batch_id)
+        _fold(batch.sparkSession, table, ("passages", "pages"), "pages", ["page_id"], batch_id)
+        pages = _last_sent(batch)
+        _write(passages_web(html_blocks(pages)), table, "passages", batch_id)
+        _write(pages.select("page_id"), table, "pages", batch_id)
 
     return spark.readStream.schema(schema).parquet(path).writeStream.foreachBatch(cut)
+
+
+def current_passages(spark: SparkSession, table: str) -> DataFrame:
+    return current(spark, table, "passages", "pages", ["page_id"])
+
+
+def stream_digests(
+    spark: SparkSession, path: str, table: str, judged: Callable[[DataFrame], DataFrame], threshold: float = DEFAULT_THRESHOLD,
+    schema: str | StructType = PAGE_SCHEMA,
+) -> DataStreamWriter:
+    """Judge pages as they arrive: tables ``pages``, ``judged``, ``paths`` and ``signal``, all by ``doc_id``, the page's id.
+
+    ``judged`` gives the judged items of passages, for example ``judge`` of ``wayread.plans.runs`` with its runs, questions and a
+    store; it sees the pages of one batch. A page sent again replaces all it had. Read the tables with ``current_digests``.
+    """
+
+    def digest(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        _fold(session, table, ("judged", "paths", "signal", "pages"), "pages", ["doc_id"], batch_id)
+        pages = _last_sent(batch)
+        _write(judged(passages_web(html_blocks(pages)).withColumnRenamed("page_id", "doc_id")), table, "judged", batch_id)
+        items = session.read.parquet(f"{_slot(table, 'judged', batch_id)}/batch_id={batch_id}")  # judged once
+        _write(signal_stats(items, threshold), table, "signal", batch_id)
+        _write(reading_path(select_digest(items, threshold)), table, "paths", batch_id)
+        _write(pages.select(F.col("page_id").alias("doc_id")), table, "pages", batch_id)
+
+    return spark.readStream.schema(schema).parquet(path).writeStream.foreachBatch(digest)
+
+
+def current_digests(spark: SparkSession, table: str, name: str) -> DataFrame:
+    return current(spark, table, name, "pages", ["doc_id"])
