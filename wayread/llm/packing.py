@@ -17,19 +17,32 @@ from wayread.llm.common import kept_in_worker, settle
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
 
 
-def encoder(path: str):
-    """The tokenizer of a ranks file. It gives the ids of the JSON file of the same vocabulary several times faster.
+def encoder(path: str, tokenizer: str):
+    """Ids of a text by the tokenizer of a JSON file.
 
-    The string <|endoftext|> is one token, as there: the one after all ranks.
+    The ranks file at ``path`` holds the same vocabulary and gives the same ids several times faster. Its library gives up on
+    white space of hundreds of thousands of characters; such texts go to the tokenizer itself. The string <|endoftext|> is one
+    token, the one after all ranks.
     """
     import base64
 
     import public_tokenizers
     import tiktoken
+    import tokenizers
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
+    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
+    whole = []
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return fast.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            whole or whole.append(tokenizers.Tokenizer.from_file(tokenizer))
+            return np.array(whole[0].encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return encode
 
 
 def default_vocabulary() -> str:
@@ -38,18 +51,24 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def pieces(documents: DataFrame, capacity: int = 1024, end: int = 2, vocabulary: str | None = None) -> DataFrame:
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def pieces(documents: DataFrame, capacity: int = 1024, end: int = 2, vocabulary: str | None = None, tokenizer: str | None = None) -> DataFrame:
     """Token pieces of every document: doc_id, piece, start, length, ids_crc32, and (task, nth), their number among the pieces
     of equal length that one task has cut. Only documents over ``capacity`` are cut, and their first piece is the short one."""
-    vocabulary = vocabulary or default_vocabulary()
+    vocabulary, tokenizer = vocabulary or default_vocabulary(), tokenizer or default_tokenizer()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = kept_in_worker(vocabulary, lambda: encoder(vocabulary)).encode_to_numpy
+        encode = kept_in_worker(vocabulary, lambda: encoder(vocabulary, tokenizer))
         task, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                ids = np.append(encode(text.as_py() or "", allowed_special="all"), end).astype("<u4")
+                ids = np.append(encode(text.as_py() or ""), end).astype("<u4")
                 first = len(ids) % capacity or capacity
                 for k, stop in enumerate(range(first, len(ids) + 1, capacity)):
                     start = max(0, stop - capacity) if k else 0
