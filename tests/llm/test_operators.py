@@ -330,3 +330,28 @@ def test_sharding(spark, docs, empty):
     few = sharding.interleaved(docs, shards=8).collect()
     counts = [sum(r["shard"] == k for r in few) for k in range(8)]
     assert len(few) == len(ROWS) and max(counts) - min(counts) <= 1 and sharding.interleaved(empty).count() == 0
+
+
+def test_packing_takes_long_white_space(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(1, " " * 1_000_000), (2, "a" + "\n" * 800_000 + "<|endoftext|>b"), (3, "plain words")]
+    got = packing.packed(spark.createDataFrame(rows, "doc_id long, text string"), capacity=1 << 21).collect()
+    want = {i: np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 2], "<u4") for i, text in rows}
+    assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in got} == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in want.items()}
+
+
+def test_names_that_clash(spark):
+    names = ["key_", "spans_", "features_", "copies_", "turn_", "KEY__", "toxicity_", "sentences_", "removed_", "s", "words", "p"]
+    rows = [(i, A if i < 3 else f"text number {i}", "ab"[i % 2], *[f"{n}{i}" for n in names]) for i in range(6)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    kept = [n for n in names if n not in ("sentences_", "removed_")]
+    cut = sentences.deduplicated(table).orderBy("doc_id").collect()
+    assert [[r[n] for n in kept] for r in cut] == [[f"{n}{i}" for n in kept] for i in range(6)] and cut[1]["removed_"] > 0
+    for row in mixing.mixed(table).collect():
+        assert tuple(row) == rows[row["doc_id"]]
+    model = toxicity.fit(table, spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int"))
+    for row in toxicity.scored(table, model).collect():
+        assert [row[n] for n in names if n != "toxicity_"] == [f"{n}{row['doc_id']}" for n in names if n != "toxicity_"] and 0 <= row["toxicity_"] <= 1

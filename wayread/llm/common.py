@@ -44,3 +44,11 @@ def kept_in_worker(key: str, build):
     if key not in store:
         store[key] = build()
     return store[key]
+
+
+def free(name: str, columns) -> str:
+    """``name``, or with underscores behind it until no column is called so; letter case makes no other name."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayread.llm.common import WORD, draw, settle
+from wayread.llm.common import WORD, draw, free, settle
 
 #: Units that one node of the reduction tree takes on average.
 FAN_IN = 128
@@ -191,7 +191,9 @@ def copies(documents: DataFrame, seed: int = 0, weights: tuple[float, ...] = (5.
 
 def mixed(documents: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The mix itself: rows of ``documents``, whose ids are unique, as often as ``copies`` says. All columns stay."""
-    plan = copies(documents, **options).where("copies > 0").select(F.col("doc_id").alias("key_"), F.col("copies").alias("copies_"))
-    rows = documents.join(plan, F.col(key).eqNullSafe(F.col("key_")))
-    rows = rows.withColumn("turn_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies_"))))
-    return rows.select(*[F.col(f"`{c}`") for c in documents.columns])
+    names = documents.columns
+    held, times, turn = (free(name, names) for name in ("key_", "copies_", "turn_"))
+    plan = copies(documents, **options).where("copies > 0").select(F.col("doc_id").alias(held), F.col("copies").alias(times))
+    rows = documents.join(plan, F.col(f"`{key}`").eqNullSafe(F.col(held)))
+    rows = rows.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+    return rows.select(*[F.col(f"`{c}`") for c in names])

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayread.llm.common import free
+
 #: Where a sentence ends: marks and the space after them, or a line break with the space around it.
 BREAK = re.compile(r"[.!?…]+\s+|[。！？｡．।॥؟۔።፧፨។៕᠃᠉⸮]+[。！？｡．।॥؟۔!?…」』”’）)\]】》〉]*\s*|\s*\n\s*")
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -132,18 +134,20 @@ def deduplicated(documents: DataFrame, sentences_least: int = 2, words_least: in
     are left alone.
 
     Null and empty texts stay as they are. A text all of which was seen before becomes empty; its row stays. Rows with null
-    ids stay unchanged. Rows that share an id count as one document. All other columns pass through, whatever their names
-    but these two. An empty table stays empty.
+    ids stay unchanged. Rows that share an id count as one document. All other columns pass through, whatever their names;
+    columns already called ``sentences_`` or ``removed_`` are replaced. An empty table stays empty.
     """
     spans = repeated_spans(documents, sentences_least, words_least, characters_least)
     # per document the runs are no more than three per sentence of it
-    spans = spans.groupBy(F.col("doc_id").alias("key_")).agg(F.collect_set(F.struct("first", "last")).alias("spans_"))
-    joined = documents.join(spans, documents["doc_id"].cast("long") == F.col("key_"), "left")
+    documents = documents.drop("sentences_", "removed_")
+    key, held = free("key_", documents.columns), free("spans_", documents.columns)
+    spans = spans.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("first", "last")).alias(held))
+    joined = documents.join(spans, documents["doc_id"].cast("long") == F.col(key), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, total, gone = [], [], []
-            for text, spans in zip(batch["text"], batch["spans_"]):
+            for text, spans in zip(batch["text"], batch[held]):
                 text, spans = text.as_py(), spans.as_py()
                 parts = split(text) if text else []
                 drop = np.zeros(len(parts) + 1, np.int64)
@@ -160,4 +164,4 @@ def deduplicated(documents: DataFrame, sentences_least: int = 2, words_least: in
 
     names = documents.columns
     schema = documents.withColumn("text", F.col("text").cast("string")).schema.add("sentences_", T.IntegerType()).add("removed_", T.IntegerType())
-    return joined.drop("key_").mapInArrow(cut, schema)
+    return joined.drop(key).mapInArrow(cut, schema)

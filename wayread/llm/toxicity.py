@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayread.llm.common import kept_in_worker, settle
+from wayread.llm.common import free, kept_in_worker, settle
 
 WORD = re.compile(r"\w+")
 #: Bytes of a dictionary's own text, and labelled documents that a model is fitted on at most.
@@ -130,16 +130,16 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = ROWS, size: int = D
     return Model(model.ordinary, model.toxic, tuple(weights.tolist()))
 
 
-def _featured(documents: DataFrame, model: Model, columns: list[str]) -> DataFrame:
+def _featured(documents: DataFrame, model: Model, columns: list[str], name: str = "features_") -> DataFrame:
     key = xxhash.xxh3_64_hexdigest(model.ordinary + b"|" + model.toxic)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gains = kept_in_worker(f"gains {key}", lambda: Gains(model))
         for batch in batches:
             rows = [features(t.as_py(), gains) for t in batch["text"]]
-            yield pa.RecordBatch.from_pydict({c: batch[c] for c in columns} | {"features_": pa.array(rows, pa.list_(pa.float64()))})
+            yield pa.RecordBatch.from_pydict({c: batch[c] for c in columns} | {name: pa.array(rows, pa.list_(pa.float64()))})
 
-    schema = T.StructType([documents.schema[c] for c in columns]).add("features_", T.ArrayType(T.DoubleType()))
+    schema = T.StructType([documents.schema[c] for c in columns]).add(name, T.ArrayType(T.DoubleType()))
     return documents.select(*columns, *(["text"] if "text" not in columns else [])).mapInArrow(run, schema)
 
 
@@ -147,14 +147,15 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
     """``documents`` with ``toxicity_``, from 0 to 1.
 
     Every word of the whole text is a window; what each saves under the toxic dictionary makes the document's features, and
-    calibrated weights their score. Null and empty texts have no windows and the score of that. All columns pass through;
-    rows that repeat are scored alike. An empty table stays empty.
+    calibrated weights their score. Null and empty texts have no windows and the score of that. All columns pass through, whatever
+    their names, but a column ``toxicity_`` is replaced; rows that repeat are scored alike. An empty table stays empty.
     """
     text = F.col("text").cast("string")
-    rows = _featured(documents.withColumn("text", text), model, documents.columns)
-    line = F.aggregate(F.zip_with("features_", F.array(*[F.lit(w) for w in model.weights]), lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
+    name = free("features_", documents.columns)
+    rows = _featured(documents.withColumn("text", text), model, documents.columns, name)
+    line = F.aggregate(F.zip_with(F.col(f"`{name}`"), F.array(*[F.lit(w) for w in model.weights]), lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
     line = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), line))
-    return rows.withColumn("toxicity_", 1 / (1 + F.exp(-line))).drop("features_")
+    return rows.withColumn("toxicity_", 1 / (1 + F.exp(-line))).drop(name)
 
 
 def held_out(key: str = "doc_id"):
