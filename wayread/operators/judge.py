@@ -28,6 +28,7 @@ from wayread.constants import (
     ROLE_QUESTION,
     WS_CHARS,
 )
+from wayread.functions.arrays import let
 from wayread.functions.scoring import as_float, known_role
 from wayread.functions.text import item_id
 from wayread.operators.joins import hot_key_join, lookup_join
@@ -287,18 +288,18 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]++"), F.lit(0)))
 
 
-def question_weights(items: DataFrame, questions: DataFrame) -> DataFrame:
+def question_weights(tokens: DataFrame, questions: DataFrame) -> DataFrame:
     """``(question_id, weights, total)``: inverse passage frequency of every term of every question.
 
-    Frequencies are counted over all passages with a partial count per task; a common word costs one row
-    per task in the shuffle.
+    ``tokens`` has the distinct ``terms`` of each passage. Only terms that some question holds become postings: the list of
+    these is joined before anything is shuffled, so what travels is one count per question term and task.
     """
-    n_items = items.agg(F.count("*")).scalar()
-    frequency = items.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(
-        F.count("*").alias("df")
-    )
+    n_items = tokens.agg(F.count("*")).scalar()
     asked = questions.select("question_id", F.explode(terms(F.col("question"))).alias("term"))
-    vocabulary = asked.select("term").distinct().join(frequency, "term", "left").withColumn(
+    wanted = asked.select("term").distinct()
+    postings = tokens.select(F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
+    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
+    vocabulary = wanted.join(frequency, "term", "left").withColumn(
         "idf", F.log(F.lit(1.0) + n_items / F.coalesce("df", F.lit(1)))
     )
     weights = F.sort_array(F.collect_list(F.struct("term", "idf")))
@@ -314,30 +315,40 @@ def question_weights(items: DataFrame, questions: DataFrame) -> DataFrame:
     )
 
 
+def lexical_cue(text: Column) -> Column:
+    """First role whose cue words a text holds, null if none."""
+
+    def first(lowered: Column) -> Column:
+        cue = F.lit(None).cast("string")
+        for name, pattern in reversed(LEXICAL_CUES):
+            cue = F.when(lowered.rlike(pattern), F.lit(name)).otherwise(cue)
+        return cue
+
+    return let(F.lower(text), first)
+
+
 def judge_lexically(items: DataFrame, runs: DataFrame, questions: DataFrame) -> DataFrame:
-    """Model-free judge: the share of the question's term weight found in the passage, and a cue-word role."""
-    pairs = lookup_join(
-        items.join(runs.select("doc_id", "question_id"), "doc_id"), question_weights(items, questions),
-        "question_id", how="left",
-    )
-    shared = F.array_intersect(F.map_keys("weights"), terms(F.col("text")))
+    """Model-free judge: the share of the question's term weight found in the passage, and a cue-word role.
+
+    Words and cues are found once for each passage, before it meets its runs.
+    """
+    read = items.withColumns({"_terms": terms(F.col("text")), "_cue": lexical_cue(F.col("text"))})
+    weighed = question_weights(items.select(terms(F.col("text")).alias("terms")), questions)
+    pairs = lookup_join(read.join(runs.select("doc_id", "question_id"), "doc_id"), weighed, "question_id", how="left")
+    shared = F.array_intersect(F.map_keys("weights"), F.col("_terms"))
     found = F.aggregate(shared, F.lit(0.0), lambda a, t: a + F.element_at("weights", t))
     p = F.when(F.col("total") > 0, F.round(found / F.col("total"), 6)).otherwise(F.lit(0.0))
-    cue = F.when(F.col("p") == 0, F.lit(None).cast("string"))
-    for name, pattern in LEXICAL_CUES:
-        cue = cue.when(F.col("lowered").rlike(pattern), F.lit(name))
     role = (
         F.when(F.col("p") == 0, F.lit(IRRELEVANT))
-        .when(F.col("cue").isNotNull(), F.col("cue"))
+        .when(F.col("_cue").isNotNull(), F.col("_cue"))
         .when(F.col("p") >= LEXICAL_DIRECT, F.lit("direct_answer"))
         .otherwise(F.lit("background"))
     )
-    role_p = F.when(F.col("cue").isNotNull(), F.lit(1.0)).otherwise(F.col("p"))
+    role_p = F.when(F.col("_cue").isNotNull() & (F.col("p") != 0), F.lit(1.0)).otherwise(F.col("p"))
     return (
-        pairs.withColumns({"p": p, "lowered": F.lower("text")})
-        .withColumn("cue", cue)
+        pairs.withColumn("p", p)
         .withColumns({"role": role, "role_p": role_p, "confidence": role_p})
-        .drop("weights", "total", "lowered", "cue")
+        .drop("weights", "total", "_terms", "_cue")
     )
 
 
