@@ -143,6 +143,14 @@ def _recorded(source: str) -> str:
         FROM {source}"""
 
 
+def _by_length(source: str, more: str) -> str:
+    """Judgments of the function judge: by the length of the passage as it is asked, plus ``more``."""
+    asked = "length(CASE WHEN heading <> '' THEN '[under heading: ' || heading || '] ' ELSE '' END || text)"
+    return f"""
+        SELECT * EXCLUDE (n), (n % 101)::DOUBLE / 100::DOUBLE AS p, {ROLE_LIST}[1 + n % 7] AS role, (n % 11)::DOUBLE / 10::DOUBLE AS role_p, 0.5::DOUBLE AS confidence
+        FROM (SELECT *, {asked} + {more} AS n FROM {source})"""
+
+
 def _selected(name: str, judged: str, extra: str = "", t: str = "0.45::DOUBLE") -> dict[str, str]:
     """Reading paths: the whole ranking of every run, without limits."""
     g = "doc_id, question_id" + extra
@@ -308,6 +316,14 @@ TABLES: dict[str, str] = {
     "layout_asked": "SELECT p.*, question_id, turn FROM layout_passages p JOIN runs USING (doc_id)",
     "layout_judged": _recorded("layout_asked"),
     **_selected("layout_selected", "layout_judged"),
+    "boxed_judged": _by_length("layout_asked", "0"),
+    **_selected("boxed_selected", "boxed_judged"),
+    "own_asked": """
+        SELECT w.*, CASE WHEN b.text ~ '^[AEIOU]' THEN a.question ELSE trim(b.text, ' ') END AS question
+        FROM web_asked w JOIN benchmark b ON b.item_id = w.question_id JOIN auto a ON a.page_id = w.doc_id
+        WHERE NOT regexp_matches(b.text, '^[AEIOU]') OR a.question <> ''""",
+    "own_judged": _by_length("own_asked", "length(question)"),
+    **_selected("own_selected", "own_judged"),
     # ---- requests
     "windows": f"""
         SELECT doc_id, question_id, turn, idx // 12 AS window_no, count(*) AS n_items,
@@ -593,6 +609,14 @@ ORACLE: dict[str, str] = {
 ORACLE["streamed_labels"] = ORACLE["label_counts"]
 ORACLE["streamed_paths"] = "SELECT doc_id, question_id, ord, idx, label, score FROM selected"
 ORACLE["streamed_passages"] = "SELECT page_id, idx, text, heading FROM web"
+ORACLE["run_auto_digest"] = "SELECT doc_id, question_id, ord, idx, label, p, role_p, text FROM own_selected"
+ORACLE["run_layout_manifest"] = f"""
+    SELECT s.doc_id, s.question_id, trim(b.text, ' ') AS question, (len(string_split(d.text, chr(10))) - 1) // 8 + 1 AS pages, sha256(d.text) AS sha256,
+           'by_length' AS model, (SELECT count(DISTINCT idx // 12) FROM layout_asked a WHERE a.doc_id = s.doc_id AND a.question_id = s.question_id)::BIGINT AS output_tokens,
+           (SELECT sum({_words('a.text')}) FROM layout_asked a WHERE a.doc_id = s.doc_id AND a.question_id = s.question_id)::BIGINT AS judged_words,
+           ord, page, role, nullif(heading, '') AS heading, s.text AS text, '[' || replace(quad::VARCHAR, ' ', '') || ']' AS quads,
+           '[' || replace([quad[1], quad[2], quad[7], quad[8]]::VARCHAR, ' ', '') || ']' AS rects
+    FROM boxed_selected s JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = s.question_id"""
 ORACLE["streamed_dirty_paths"] = "SELECT doc_id, question_id, ord, idx, label, score FROM dirty_selected"
 ORACLE["streamed_pages_resent"] = "SELECT doc_id, question_id, ord, idx, label, text FROM web_selected WHERE doc_id % 10 <> 0"
 ORACLE["store_second_run"] = """

@@ -342,17 +342,18 @@ def lexical_judge(spark, sf):
     return scored.select("doc_id", "question_id", "idx", "p", "role", "role_p")
 
 
-def by_length(fails: Callable[[str], bool] = lambda passages: False) -> Callable[[str], dict]:
-    """A user function as judge, one call per window; it goes by the length of each passage."""
+def by_length(fails: Callable[[str], bool] = lambda passages: False, asked: bool = False) -> Callable[[str], dict]:
+    """A user function as judge, one call per window; it goes by the length of each passage, and of the question if ``asked``."""
     roles = list(ROLE_NAMES)
 
     def judge(request: str) -> dict:
-        answers, passages = {}, json.loads(request)["state"]["passages"]
+        answers, state = {}, json.loads(request)["state"]
+        passages, more = state["passages"], len(state["question"]) if asked else 0
         if fails(passages):
             raise ValueError("no reply")
         for line in passages.split("\n"):
             name, text = line.split("| ", 1)
-            n, role = len(text), roles[len(text) % 7]
+            n, role = len(text) + more, roles[(len(text) + more) % 7]
             answers[f"{name}_needed"] = {"type": "noul", "noul": n % 101 / 100}
             answers[f"{name}_role"] = {"type": "choice", "choice": role, "confidence": 0.5, "probabilities": {role: n % 11 / 10}}
         return {"answers": answers, "input_tokens": len(request), "output_tokens": 1, "model": "by_length"}
@@ -366,6 +367,27 @@ def function_judge(spark, sf):
     return items.select("doc_id", "question_id", "idx", "p", "role", "role_p", "confidence")
 
 
+@query
+def run_auto_digest(spark, sf):
+    """Whole runs on pages; a question that starts with a vowel counts as left blank, so the page asks its own."""
+    blank = questions(spark, sf).withColumn("question", F.when(F.col("question").rlike("^[AEIOU]"), " ").otherwise(F.col("question")))
+    page_runs = runs(spark, sf, pages(spark, sf).select("page_id"), "page_id")
+    path, _ = L.digest_pages(pages(spark, sf), page_runs, blank, backend=by_length(asked=True), window_size=24)
+    return path.select("doc_id", "question_id", "ord", "idx", "label", "p", "role_p", "text")
+
+
+@query
+def run_layout_manifest(spark, sf):
+    """Whole runs on laid-out documents: every passage of every manifest, with its boxes."""
+    docs = documents(spark, sf).select("doc_id", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
+    manifests, _ = L.digest_layout(docs, layout(spark, sf), document_runs(spark, sf), questions(spark, sf), backend=by_length(), on_empty="skip")
+    m = F.col("manifest")
+    each = manifests.select("doc_id", "question_id", m["question"].alias("question"), m["source"]["pages"].alias("pages"), m["source"]["sha256"].alias("sha256"), m["model"].alias("model"),
+                            m["usage"]["output_tokens"].alias("output_tokens"), m["signal"]["judged_words"].alias("judged_words"), F.inline(m["passages"]))
+    return each.select("doc_id", "question_id", "question", "pages", "sha256", "model", "output_tokens", "judged_words", F.col("order").alias("ord"), "page", "role",
+                       "heading", "text", F.to_json(F.transform("quads", lambda q: q["quad"])).alias("quads"), F.to_json(F.transform("quads", lambda q: q["rect"])).alias("rects"))
+
+
 @query
 def store_second_run(spark, sf):
     """Requests reused and asked by three runs over one store: the first questions, all questions, all again."""

@@ -65,6 +65,16 @@ def with_auto_question(runs: DataFrame, questions: DataFrame, auto: DataFrame) -
     )
 
 
+def question_key(questions: DataFrame) -> list[str]:
+    """Columns that name a question: questions of single documents have their ``doc_id``, too."""
+    return ["doc_id", "question_id"] if "doc_id" in questions.columns else ["question_id"]
+
+
+def _with_questions(facts: DataFrame, questions: DataFrame, how: str = "inner") -> DataFrame:
+    key = question_key(questions)
+    return lookup_join(facts, questions, "question_id", how) if len(key) == 1 else facts.join(questions, key, how)
+
+
 def make_windows(items: DataFrame, size: int = DIGEST_WINDOW) -> DataFrame:
     """Consecutive slices of a document's items: adds ``window_no`` and ``pos``."""
     if size < 1:
@@ -124,7 +134,7 @@ def _requests(
         F.count("*").cast("int").alias("n_items"),
         F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("passage"),
     )
-    asked_of = lookup_join(grouped, questions, "question_id")
+    asked_of = _with_questions(grouped, questions)
     state = F.to_json(F.struct(F.col("question").alias(names[0]), F.col("passage").alias(names[1])))
     return asked_of.select(
         request_key(mode, F.col("question"), F.lit(model), F.col("passage")).alias("request_key"),
@@ -289,13 +299,14 @@ def terms(text: Column) -> Column:
 
 
 def question_weights(tokens: DataFrame, questions: DataFrame) -> DataFrame:
-    """``(question_id, weights, total)``: inverse passage frequency of every term of every question.
+    """The questions' key, ``weights`` and ``total``: inverse passage frequency of every term of every question.
 
     ``tokens`` has the distinct ``terms`` of each passage. Only terms that some question holds become postings: the list of
     these is joined before anything is shuffled, so what travels is one count per question term and task.
     """
     n_items = tokens.agg(F.count("*")).scalar()
-    asked = questions.select("question_id", F.explode(terms(F.col("question"))).alias("term"))
+    key = question_key(questions)
+    asked = questions.select(*key, F.explode(terms(F.col("question"))).alias("term"))
     wanted = asked.select("term").distinct()
     postings = tokens.select(F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
@@ -305,10 +316,10 @@ def question_weights(tokens: DataFrame, questions: DataFrame) -> DataFrame:
     weights = F.sort_array(F.collect_list(F.struct("term", "idf")))
     return (
         lookup_join(asked, vocabulary, "term")
-        .groupBy("question_id")
+        .groupBy(*key)
         .agg(weights.alias("weights"))
         .select(
-            "question_id",
+            *key,
             F.map_from_entries("weights").alias("weights"),
             F.aggregate("weights", F.lit(0.0), lambda a, w: a + w["idf"]).alias("total"),
         )
@@ -334,7 +345,7 @@ def judge_lexically(items: DataFrame, runs: DataFrame, questions: DataFrame) ->
     """
     read = items.withColumns({"_terms": terms(F.col("text")), "_cue": lexical_cue(F.col("text"))})
     weighed = question_weights(items.select(terms(F.col("text")).alias("terms")), questions)
-    pairs = lookup_join(read.join(runs.select("doc_id", "question_id"), "doc_id"), weighed, "question_id", how="left")
+    pairs = _with_questions(read.join(runs.select("doc_id", "question_id"), "doc_id"), weighed, how="left")
     shared = F.array_intersect(F.map_keys("weights"), F.col("_terms"))
     found = F.aggregate(shared, F.lit(0.0), lambda a, t: a + F.element_at("weights", t))
     p = F.when(F.col("total") > 0, F.round(found / F.col("total"), 6)).otherwise(F.lit(0.0))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wayread.constants import IRRELEVANT, MANIFEST_VERSION
 from wayread.functions.text import excerpt
+from wayread.operators.judge import question_key
 
 _PASSAGE = (
     ("ord", "order"), ("page", "page"), ("role", "role"), ("label", "label"), ("p", "probability"),
@@ -42,6 +43,13 @@ def require_text(documents: DataFrame, passages: DataFrame) -> None:
         raise ValueError(f"no text found, for example in document {empty[0]['doc_id']}")
 
 
+def with_text(documents: DataFrame, passages: DataFrame) -> DataFrame:
+    """``passages``, in a plan that fails when it runs if any document has none. No job of its own."""
+    lost = F.raise_error(F.concat(F.lit("no text found in document "), F.col("doc_id").cast("string"))).cast("boolean")
+    empty = documents_without_text(documents, passages).where(lost)
+    return passages.unionByName(empty, allowMissingColumns=True)
+
+
 def _box(quad: Column) -> Column:
     xs = F.filter(quad, lambda _, i: i % 2 == 0)
     ys = F.filter(quad, lambda _, i: i % 2 == 1)
@@ -70,7 +78,7 @@ def manifest(
         nested.join(signal, key, "left")
         .join(usage, key, "left")
         .join(source, "doc_id", "left")
-        .join(questions.select("question_id", "question"), "question_id", "left")
+        .join(questions.select(*question_key(questions), "question"), question_key(questions), "left")
         .select(
             *key,
             F.struct(

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from wayread.constants import DEFAULT_MODEL, DEFAULT_THRESHOLD, DIGEST_WINDOW, FIND_WINDOW, MIN_QUERY_LEN, WS_CHARS
 from wayread.operators import judge as J
-from wayread.operators.blocks import html_blocks
+from wayread.operators.blocks import html_blocks, page_headline, passages_layout
 from wayread.operators.digest import reading_path, select_digest, signal_stats
 from wayread.operators.find import find_matches
-from wayread.operators.passages import passages_text, passages_web
+from wayread.operators.manifest import annotation_plan, manifest, source_info, with_text
+from wayread.operators.passages import auto_question, page_opener, passages_text, passages_web
 from wayread.plans.lineage import settled
 from wayread.sources import store as R
 
@@ -33,14 +34,20 @@ class Counts:
         return {**self.before.get, **self.after.get}
 
 
-def judge(
+def judge(items: DataFrame, runs: DataFrame, questions: DataFrame, backend: Judge = "lexical", **options: Any) -> DataFrame:
+    """Items of every run with ``p`` and, for passages, ``role, role_p, confidence``; see ``judge_with_usage``."""
+    return judge_with_usage(items, runs, questions, backend, **options)[0]
+
+
+def judge_with_usage(
     items: DataFrame, runs: DataFrame, questions: DataFrame, backend: Judge = "lexical",
     judgments: DataFrame | None = None, mode: str = "digest", size: int = DIGEST_WINDOW,
     concurrency: int | None = None, on_error: str = "fail", on_missing: str = "fail", store: str | None = None,
     model: str = DEFAULT_MODEL, counts: Counts | None = None,
-) -> DataFrame:
-    """Items of every run with ``p`` and, for passages, ``role, role_p, confidence``.
+) -> tuple[DataFrame, DataFrame]:
+    """Items of every run with ``p`` and, for passages, ``role, role_p, confidence``, and the tokens each run took.
 
+    Questions with a ``doc_id`` are put to that document only.
     ``backend`` is ``'table'`` (recorded ``judgments``), ``'lexical'`` (built in) or a function that answers
     one request. With a ``store`` only requests without a stored answer are put to the function and the new
     answers, and failures under ``on_error='skip'``, are added to it; without one the answers are checkpointed.
@@ -50,13 +57,13 @@ def judge(
     if backend == "table":
         if judgments is None:
             raise ValueError("backend 'table' needs judgments")
-        return J.judge_from_table(items, runs, judgments)
+        return J.judge_from_table(items, runs, judgments), _no_usage(runs)
     # a question shorter than two characters runs nothing
     text = F.trim("question", F.lit(WS_CHARS))
     questions = questions.withColumn("question", text).where(F.length("question") >= MIN_QUERY_LEN)
-    runs = runs.join(questions.select("question_id"), "question_id", "left_semi")
+    runs = runs.join(questions, J.question_key(questions), "left_semi")
     if backend == "lexical":
-        return J.judge_lexically(items, runs, questions)
+        return J.judge_lexically(items, runs, questions), _no_usage(runs)
     if not callable(backend):
         raise ValueError("backend must be 'table', 'lexical' or a function")
 
@@ -66,7 +73,13 @@ def judge(
     keys = settled(requests.select("request_key", "doc_id", "question_id", "window_no", "n_items"))
     answers = answer(requests, backend, store, concurrency, on_error, keys, counts)
     parsed = J.parse_answers(keys, answers, mode, size, on_missing, hot_rows=200_000)
-    return asked.join(parsed, ["doc_id", "question_id", "idx"], "left")
+    return asked.join(parsed, ["doc_id", "question_id", "idx"], "left"), usage_of(keys, answers)
+
+
+def _no_usage(runs: DataFrame) -> DataFrame:
+    """Runs that no service was asked for took no tokens and have no model."""
+    nothing = F.lit(0).cast("long")
+    return runs.select("doc_id", "question_id", nothing.alias("input_tokens"), nothing.alias("output_tokens"), F.lit(None).cast("string").alias("model"))
 
 
 def answer(
@@ -109,14 +122,48 @@ def digest_documents(
 
 def digest_pages(
     pages: DataFrame, runs: DataFrame, questions: DataFrame, threshold: float = DEFAULT_THRESHOLD,
-    backend: Judge = "lexical", **options: Any,
+    backend: Judge = "lexical", window_size: int | None = None, **options: Any,
 ) -> tuple[DataFrame, DataFrame]:
-    """Reading paths and signal of web pages; runs name pages by ``doc_id``."""
-    passages = passages_web(html_blocks(pages)).withColumnRenamed("page_id", "doc_id")
-    judged = judge(passages, runs, questions, backend, **options)
+    """Reading paths and signal of web pages; runs name pages by ``doc_id``.
+
+    Where the question of a run is blank or shorter than two characters, the page is asked its own overview question, from
+    its headline or its first passage; a page with neither is not asked. ``window_size`` is that of find requests, of which
+    digest windows are half.
+    """
+    if window_size is not None:
+        options["size"] = J.clamp_digest_window(window_size)
+    blocks = settled(html_blocks(pages))  # passages, openers and so questions all come from them
+    passages = passages_web(blocks)
+    own = auto_question(pages, page_headline(pages), page_opener(passages, blocks)).withColumnRenamed("page_id", "doc_id")
+    asked = J.with_auto_question(runs.select("doc_id", "question_id"), questions, own).select("doc_id", "question_id", "question")
+    judged = judge(passages.withColumnRenamed("page_id", "doc_id"), asked.drop("question"), asked, backend, **options)
     return reading_path(select_digest(judged, threshold)), signal_stats(judged, threshold)
 
 
+def digest_layout(
+    documents: DataFrame, layout: DataFrame, runs: DataFrame, questions: DataFrame, threshold: float = DEFAULT_THRESHOLD,
+    backend: Judge = "lexical", on_empty: str = "fail", **options: Any,
+) -> tuple[DataFrame, DataFrame]:
+    """Manifests, with boxes, and annotation plans of laid-out documents.
+
+    ``documents`` has ``doc_id, path, content``, ``layout`` the blocks of their pages. Passages and judged items are each
+    computed once and kept; all results read those. With ``on_empty='fail'`` a document without any passage fails the run
+    before its passages are judged, with ``'skip'`` it has no results.
+    """
+    if on_empty not in ("fail", "skip"):
+        raise ValueError("on_empty must be 'fail' or 'skip'")
+    passages = settled(passages_layout(layout))
+    if on_empty == "fail":
+        passages = settled(with_text(documents, passages))
+    judged, usage = judge_with_usage(passages, runs, questions, backend, **options)
+    judged = settled(judged)
+    path = reading_path(select_digest(judged, threshold))
+    counted = documents.join(layout.groupBy("doc_id").agg(F.max("page").alias("pages")), "doc_id", "left")
+    source = source_info(counted, "content", F.col("path"), F.coalesce("pages", F.lit(0)))
+    settings = {"threshold": threshold, "model": options.get("model", DEFAULT_MODEL), "batch_size": options.get("size", DIGEST_WINDOW)}
+    return manifest(path, signal_stats(judged, threshold), usage, source, questions, settings), annotation_plan(path)
+
+
 def find_in(
     items: DataFrame, runs: DataFrame, questions: DataFrame, threshold: float = DEFAULT_THRESHOLD,
     backend: Judge = "lexical", **options: Any,
