@@ -324,6 +324,15 @@ TABLES: dict[str, str] = {
         WHERE NOT regexp_matches(b.text, '^[AEIOU]') OR a.question <> ''""",
     "own_judged": _by_length("own_asked", "length(question)"),
     **_selected("own_selected", "own_judged"),
+    "bin_counts": """
+        SELECT mode, role, least(floor(p * 10)::BIGINT, 9) AS bin, count(*) AS n, count(*) FILTER (correct) AS yes FROM records WHERE p IS NOT NULL GROUP BY ALL""",
+    "bin_spans": """
+        SELECT a.mode, a.role, a.bin AS j, b.bin AS k,
+               (SELECT sum(yes) / sum(n)::DOUBLE FROM bin_counts c WHERE c.mode = a.mode AND c.role = a.role AND c.bin BETWEEN a.bin AND b.bin) AS mean
+        FROM bin_counts a JOIN bin_counts b ON a.mode = b.mode AND a.role = b.role AND a.bin <= b.bin""",
+    "bin_floors": """
+        SELECT c.mode, c.role, c.bin, j, min(mean) AS mean
+        FROM bin_counts c JOIN bin_spans s ON s.mode = c.mode AND s.role = c.role AND j <= bin AND k >= bin GROUP BY ALL""",
     # ---- requests
     "windows": f"""
         SELECT doc_id, question_id, turn, idx // 12 AS window_no, count(*) AS n_items,
@@ -609,6 +618,24 @@ ORACLE: dict[str, str] = {
 ORACLE["streamed_labels"] = ORACLE["label_counts"]
 ORACLE["streamed_paths"] = "SELECT doc_id, question_id, ord, idx, label, score FROM selected"
 ORACLE["streamed_passages"] = "SELECT page_id, idx, text, heading FROM web"
+_BINNED = "SELECT mode, role, correct, least(floor(p * 10)::BIGINT, 9) AS bin FROM records WHERE p IS NOT NULL"
+ORACLE["label_calibration_cube"] = f"""
+    SELECT mode, role, bin, grouping(mode) = 1 AS all_modes, grouping(role) = 1 AS all_roles, count(*) AS n_labels, count(*) FILTER (correct) AS n_yes,
+           count(*) FILTER (correct) / count(*)::DOUBLE AS precision
+    FROM ({_BINNED}) GROUP BY GROUPING SETS ((mode, role, bin), (mode, bin), (role, bin), (bin))"""
+ORACLE["label_isotonic"] = """
+    SELECT c.mode, c.role, c.bin, n AS n_labels, yes AS n_yes, yes / n::DOUBLE AS precision,
+           (SELECT max(mean) FROM bin_floors l WHERE l.mode = c.mode AND l.role = c.role AND l.bin = c.bin) AS calibrated FROM bin_counts c"""
+ORACLE["exported_labels"] = ORACLE["label_records"]
+ORACLE["stored_and_fresh_answers"] = ORACLE["function_judge"]
+ORACLE["stored_layout"] = "SELECT doc_id, idx, page, heading, text FROM layout_passages"
+ORACLE["find_sweep_counts"] = f"""
+    SELECT doc_id, question_id, threshold, count(*) FILTER (p >= threshold) AS n_matches, count(*) FILTER (is_literal) AS n_literal,
+           count(*) FILTER (p >= threshold AND NOT is_literal) AS n_only_here
+    FROM found_terms, (SELECT unnest({GRID}) AS threshold) GROUP BY ALL"""
+ORACLE["trim_spans"] = f"""
+    SELECT doc_id, s, greatest(s, n - length(regexp_extract(head, {_q(WS + '*$')}))) AS e
+    FROM (SELECT doc_id, substr(text, 1, 400) AS head, length(substr(text, 1, 400)) AS n, length(regexp_extract(substr(text, 1, 400), {_q('^' + WS + '*')})) AS s FROM documents)"""
 ORACLE["run_auto_digest"] = "SELECT doc_id, question_id, ord, idx, label, p, role_p, text FROM own_selected"
 ORACLE["run_layout_manifest"] = f"""
     SELECT s.doc_id, s.question_id, trim(b.text, ' ') AS question, (len(string_split(d.text, chr(10))) - 1) // 8 + 1 AS pages, sha256(d.text) AS sha256,

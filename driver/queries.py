@@ -24,6 +24,7 @@ from wayread.plans import runs as L
 from wayread.plans.lineage import ensure_checkpoint_dir
 from wayread.plans.recorded import derived_runs, layout_from_lines, recorded, recorded_answers
 from wayread.sources import readers as R
+from wayread.sources import sinks as W
 from wayread.sources import store as K
 from wayread.streaming import streams as S
 
@@ -155,6 +156,13 @@ def sentences(spark, sf):
     return P.document_sentences(documents(spark, sf))
 
 
+@query
+def trim_spans(spark, sf):
+    """The span of a document's first 400 characters without white space around it."""
+    span = T.trim_span(F.col("text"), F.lit(0), F.least(F.length("text"), F.lit(400)))
+    return documents(spark, sf).select("doc_id", span.alias("span")).select("doc_id", "span.s", "span.e")
+
+
 @query
 def text_passages(spark, sf):
     return passages(spark, sf).select("doc_id", "idx", "text")
@@ -249,6 +257,14 @@ def layout_passages(spark, sf):
     )
 
 
+@query
+def stored_layout(spark, sf):
+    """Passages of a layout table that was written and is read with its schema."""
+    folder = work_folder(spark)
+    layout(spark, sf).write.parquet(f"{folder}/layout")
+    return B.passages_layout(R.read_layout_blocks(spark, f"{folder}/layout")).select("doc_id", "idx", "page", "heading", "text")
+
+
 # --------------------------------------------------------------------------- requests and answers
 
 
@@ -402,6 +418,15 @@ def store_second_run(spark, sf):
     return spark.createDataFrame(rows, "run long, reused long, asked long, done long, stored long")
 
 
+@query
+def stored_and_fresh_answers(spark, sf):
+    """Judgments of a run of which the first questions are answered from the store and the others anew."""
+    store, every = f"{work_folder(spark)}/store", document_runs(spark, sf)
+    for part in (every.where(F.col("turn") == 0), every):
+        items = L.judge(passages(spark, sf), part, questions(spark, sf), by_length(), store=store)
+    return items.select("doc_id", "question_id", "idx", "p", "role", "role_p", "confidence")
+
+
 def half_answered(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
     """A store after a run in which windows of lengths that 5 divides got no reply, and that run's windows."""
     store = f"{work_folder(spark)}/store"
@@ -540,6 +565,11 @@ def find_sweep(spark, sf):
     return N.find_sweep(found(spark, sf))
 
 
+@query
+def find_sweep_counts(spark, sf):
+    return N.find_sweep(found_terms(spark, sf), query_col="question")
+
+
 @query
 def top_matches(spark, sf):
     return N.top_matches(N.find_matches(found(spark, sf)), 50).select("doc_id", "question_id", "idx", "p", "text")
@@ -582,11 +612,31 @@ def label_calibration(spark, sf):
     return V.label_calibration(records(spark, sf))
 
 
+@query
+def label_calibration_cube(spark, sf):
+    return V.label_calibration_cube(records(spark, sf))
+
+
+@query
+def label_isotonic(spark, sf):
+    return V.label_isotonic(records(spark, sf))
+
+
 @query
 def label_thresholds(spark, sf):
     return V.label_thresholds(records(spark, sf))
 
 
+@query
+def exported_labels(spark, sf):
+    """Verdicts appended to a table in two parts, read from it and exported."""
+    folder, every = work_folder(spark), records(spark, sf)
+    for part in (0, 1):
+        W.append_labels(every.where(F.col("ts") % 2 == part), f"{folder}/labels")
+    W.export_labels(R.read_labels(spark, f"{folder}/labels"), f"{folder}/export")
+    return spark.read.schema(V.LABEL_SCHEMA).json(f"{folder}/export")
+
+
 # --------------------------------------------------------------------------- nested results
 
 

@@ -191,3 +191,51 @@ def test_page_offsets_in_buckets(spark):
     for bucket in (4, 1024):
         got = {(r.doc_id, r.page): r.before for r in B.page_offsets(counts, bucket=bucket).collect()}
         assert all(got[d, p] == sum(q % 3 for q in range(1, p)) for d in (1, 2) for p in range(1, 40))
+
+
+def test_isotonic_calibration(spark):
+    import random
+
+    draw = random.Random(6)
+    rows = [(i, "u", draw.choice(["find", "digest"]), "q", "t", draw.choice([draw.random(), 1.0, None]), draw.choice([None, "evidence"]), None, draw.random() < 0.5) for i in range(400)]
+    labels = spark.createDataFrame(rows, V.LABEL_SCHEMA)
+    found = {}
+    for r in V.label_isotonic(labels, bins=20).collect():
+        found.setdefault((r.mode, r.role), []).append((r.bin, r.n_labels, r.n_yes, r.calibrated))
+    for (mode, role), got in found.items():
+        blocks = []  # pool adjacent violators
+        for b, n, yes, _ in sorted(got):
+            blocks.append([yes, n, 1])
+            while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+                yes2, n2, k2 = blocks.pop()
+                blocks[-1] = [blocks[-1][0] + yes2, blocks[-1][1] + n2, blocks[-1][2] + k2]
+        want = [yes / n for yes, n, k in blocks for _ in range(k)]
+        assert [c for *_, c in sorted(got)] == pytest.approx(want)
+        assert sum(n for _, n, _, _ in got) == sum(r[2] == mode and r[6] == role and r[5] is not None for r in rows)
+
+
+def test_calibration_totals(spark):
+    rows = [(1, "u", "find", "q", "t", 0.55, None, None, True), (2, "u", "digest", "q", "t", 0.51, "evidence", None, False), (3, "u", "digest", "q", "t", None, "evidence", None, True)]
+    got = {(r.mode, r.role, r.all_modes, r.all_roles): (r.bin, r.n_labels, r.n_yes) for r in V.label_calibration_cube(spark.createDataFrame(rows, V.LABEL_SCHEMA)).collect()}
+    assert got[None, None, True, True] == (5, 2, 1) and got["find", None, False, False] == (5, 1, 1) and got["find", None, False, True] == (5, 1, 1)
+    assert got[None, None, True, False] == (5, 1, 1) and got[None, "evidence", True, False] == (5, 1, 0)
+
+
+def test_sweep_rows_do_not_grow_with_the_grid(spark):
+    import random
+
+    from wayread.operators import digest as D
+
+    draw = random.Random(9)
+    rows = [(g, 0, i, "a b", draw.randint(0, 100) / 100, draw.choice(["evidence", "direct_answer", "qualification", "irrelevant"]), draw.randint(0, 10) / 10) for g in (1, 2) for i in range(300)]
+    judged = spark.createDataFrame(rows, "doc_id long, question_id long, idx int, text string, p double, role string, role_p double")
+    fine = [n / 100 for n in range(20, 91)]
+    swept = {(r.doc_id, r.threshold): (r.n_selected, r.catch_idx) for r in D.threshold_sweep(judged, fine).collect()}
+    for t in (0.2, 0.33, 0.45, 0.71, 0.9):
+        for doc in (1, 2):
+            path = D.select_digest(judged.where(F.col("doc_id") == doc), t).collect()
+            catch = [r.idx for r in path if r.is_catch]
+            assert swept[doc, t] == (len(path), catch[0] if catch else None)
+    plan = D.threshold_sweep(judged, fine)._jdf.queryExecution().executedPlan().toString()
+    expand = next(i for i, line in enumerate(plan.split("\n")) if "Generate posexplode(slice" in line)
+    assert sum("Exchange" in line for line in plan.split("\n")[expand:]) >= 2  # both shuffles lie below the repeating

@@ -24,6 +24,8 @@ from wayread.functions.scoring import digest_score, is_catch_role, label, needed
 from wayread.functions.text import word_count
 
 GROUP = ("doc_id", "question_id")
+#: Ranks of a role that a selection can reach.
+REACH = MAX_PATH + len(ROLE_NAMES) - 1
 
 
 def select_digest(
@@ -40,7 +42,6 @@ def select_digest(
     (WindowGroupLimit), so a group with a third of all rows still sends only a few rows per task.
     """
     cut = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    reach = MAX_PATH + len(ROLE_NAMES) - 1
     score = digest_score(F.col("p"), F.col("role"), F.col("role_p"))
     best_first = [F.desc("score"), F.asc("idx")]
     in_role = Window.partitionBy(*group, "role").orderBy(*best_first)
@@ -48,7 +49,7 @@ def select_digest(
         judged.where(F.col("p").isNotNull() & (F.col("p") >= cut) & needed(F.col("role")))
         .withColumn("score", score)
         .withColumn("role_rank", F.row_number().over(in_role))
-        .where(F.col("role_rank") <= reach)
+        .where(F.col("role_rank") <= REACH)
     )
 
     whole = Window.partitionBy(*group)
@@ -124,8 +125,10 @@ def threshold_sweep(
 ) -> DataFrame:
     """Path size, catch and signal of every group at every threshold, from judgments already made.
 
-    Signal is one aggregation with a column per threshold. For the selection an item is repeated only for
-    the thresholds it reaches, without its text, and the rank limit cuts those rows before the shuffle.
+    Signal is one aggregation with a column per threshold. Selections change only where a threshold passes the ``p`` of an
+    item, so items between two thresholds of the grid are alike: of each role the best of such a level hold back all others
+    at every threshold these reach. Only they are shuffled, once and without their text, however long the grid is; they are
+    repeated for their thresholds where their run has been brought together.
     """
     grid = sorted(set(thresholds or threshold_grid()))
     words = word_count(F.col("text")).cast("long")
@@ -146,9 +149,14 @@ def threshold_sweep(
     )
 
     # the grid ascends, so the thresholds an item reaches are its first ones
-    reached = F.filter(levels, lambda t: t <= F.col("p"))
-    by_level = slim.where(ok & F.col("p").isNotNull()).select(
-        *group, "idx", "p", "role", "role_p", F.posexplode(reached).alias("level", "cut")
+    reached = F.size(F.filter(levels, lambda t: t <= F.col("p")))
+    best = Window.partitionBy(*group, "role", "reached").orderBy(F.desc("score"), F.asc("idx"))
+    able = slim.where(ok & F.col("p").isNotNull()).select(
+        *group, "idx", "p", "role", "role_p", reached.alias("reached"), digest_score(F.col("p"), F.col("role"), F.col("role_p")).alias("score")
+    )
+    shortlist = able.where(F.col("reached") > 0).withColumn("place", F.row_number().over(best)).where(F.col("place") <= REACH)
+    by_level = shortlist.repartition(*group).select(
+        *group, "idx", "p", "role", "role_p", F.posexplode(F.slice(levels, 1, F.col("reached"))).alias("level", "cut")
     )
     key = [*group, "level"]
     paths = (

@@ -50,17 +50,23 @@ def literal_and_semantic(matches: DataFrame) -> DataFrame:
 
 
 def find_sweep(
-    judged: DataFrame, thresholds: Sequence[float] | None = None, group: Sequence[str] = GROUP
+    judged: DataFrame, thresholds: Sequence[float] | None = None, group: Sequence[str] = GROUP, query_col: str | None = None
 ) -> DataFrame:
-    """Number of matches of every run at every threshold, from one pass over the judgments."""
+    """Number of matches of every run at every threshold, from one pass over the judgments.
+
+    With ``query_col`` also the literal hits, which no threshold changes, and the matches that only meaning finds.
+    """
     grid = list(thresholds or threshold_grid())
-    counts = F.array(*[F.count_if(F.col("p") >= t) for t in grid])
-    return (
-        judged.groupBy(*group)
-        .agg(counts.alias("n"))
-        .select(*group, F.posexplode("n").alias("at", "n_matches"))
-        .select(*group, F.get(F.array(*[F.lit(t) for t in grid]), F.col("at")).alias("threshold"), "n_matches")
-    )
+    items = judged if query_col is None else flag_literal(judged, query_col)
+    only = F.lit(False) if query_col is None else ~F.col("is_literal")
+    at = [F.col("p") >= t for t in grid]
+    counts = F.array(*[F.struct(F.count_if(hit).alias("n_matches"), F.count_if(hit & only).alias("n_only_here")) for hit in at])
+    literal_hits = F.count_if(F.lit(False) if query_col is None else F.col("is_literal"))
+    level = F.get(F.array(*[F.lit(t) for t in grid]), F.col("at")).alias("threshold")
+    each = items.groupBy(*group).agg(counts.alias("n"), literal_hits.alias("n_literal")).select(*group, "n_literal", F.posexplode("n").alias("at", "n"))
+    if query_col is None:
+        return each.select(*group, level, "n.n_matches")
+    return each.select(*group, level, "n.n_matches", "n_literal", "n.n_only_here")
 
 
 def top_matches(matches: DataFrame, k: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayread.operators.digest import threshold_grid
@@ -31,12 +31,16 @@ def label_counts(labels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def _bin(bins: int) -> Column:
+    """Probability bin; the last one includes probability 1."""
+    return F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int")
+
+
 def label_calibration(labels: DataFrame, bins: int = 10, by: Sequence[str] = ("mode", "role")) -> DataFrame:
     """Share of right items per probability bin; the last bin includes probability 1."""
-    bin_no = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int")
     return (
         labels.where(F.col("p").isNotNull())
-        .groupBy(*by, bin_no.alias("bin"))
+        .groupBy(*by, _bin(bins).alias("bin"))
         .agg(F.count("*").alias("n_labels"), F.count_if("correct").alias("n_yes"), F.avg("p").alias("mean_p"))
         .withColumn("precision", F.col("n_yes") / F.col("n_labels"))
     )
@@ -66,3 +70,39 @@ def label_thresholds(
             }
         )
     )
+
+
+def label_calibration_cube(labels: DataFrame, bins: int = 10) -> DataFrame:
+    """Precision per probability bin for every mode and role, each mode, each role and all, in one aggregation.
+
+    ``all_modes`` and ``all_roles`` say which are totals, as a role can be null in its own right.
+    """
+    binned = labels.where(F.col("p").isNotNull()).select("mode", "role", "correct", _bin(bins).alias("bin"))
+    sets = [[F.col(c) for c in names] for names in (["mode", "role", "bin"], ["mode", "bin"], ["role", "bin"], ["bin"])]
+    n_yes = F.count_if("correct")
+    return binned.groupingSets(sets, F.col("mode"), F.col("role"), F.col("bin")).agg(
+        (F.grouping("mode") == 1).alias("all_modes"), (F.grouping("role") == 1).alias("all_roles"),
+        F.count("*").alias("n_labels"), n_yes.alias("n_yes"), (n_yes / F.count("*")).alias("precision"),
+    )
+
+
+def label_isotonic(labels: DataFrame, bins: int = 10, by: Sequence[str] = ("mode", "role")) -> DataFrame:
+    """Precision per probability bin, and ``calibrated``: the closest values, by number of labels, that never fall with p.
+
+    Counts of bins merge on each task first, so a group comes together as at most ``bins`` rows. Its fit is the greatest over all
+    bins up to one's own of the least precision over spans from there to any bin from one's own on.
+    """
+    counts = labels.where(F.col("p").isNotNull()).groupBy(*by, _bin(bins).alias("bin")).agg(F.count("*").alias("n"), F.count_if("correct").alias("yes"))
+    held = counts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("bin", "n", "yes"))).alias("held"))
+
+    def total(name: str, j: Column, k: Column) -> Column:
+        return F.aggregate(F.slice("held", j + 1, k - j + 1), F.lit(0).cast("long"), lambda a, x: a + x[name])
+
+    def fitted(i: Column) -> Column:
+        def least(j: Column) -> Column:
+            return F.array_min(F.transform(F.sequence(i, F.size("held") - 1), lambda k: total("yes", j, k) / total("n", j, k)))
+
+        return F.array_max(F.transform(F.sequence(F.lit(0), i), least))
+
+    each = held.select(*by, "held", F.explode(F.sequence(F.lit(0), F.size("held") - 1)).alias("i")).withColumn("x", F.get("held", F.col("i")))
+    return each.select(*by, "x.bin", F.col("x.n").alias("n_labels"), F.col("x.yes").alias("n_yes"), (F.col("x.yes") / F.col("x.n")).alias("precision"), fitted(F.col("i")).alias("calibrated"))
