@@ -61,3 +61,22 @@ def test_signal_and_navigation(spark):
     ends = steps.join(last, "doc_id")
     assert ends.where("match_no = 1 and prev_idx <> last or match_no = n and next_idx <> first or n_matches <> n").count() == 0
     assert steps.where("doc_id = 0").agg(F.sum("match_no")).first()[0] == (lambda n: n * (n + 1) // 2)(hits.where("doc_id = 0").count())
+
+
+def test_a_question_with_most_of_the_rows_is_dealt_out(spark):
+    from wayread.operators.joins import hot_key_join
+
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        facts = spark.range(100_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 > 0, 7).otherwise(F.col("id") % 1000).alias("question_id")).checkpoint()
+        lookup = spark.range(1001).select(F.col("id").alias("question_id"), (F.col("id") * 2).alias("x"))
+        joined = hot_key_join(facts, lookup, "question_id")
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+        assert sum(sizes) == 100_000 and max(sizes) < 2 * 100_000 / 16, sizes
+        assert joined.where("x <> 2 * question_id").count() == 0
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 8
+#: Parts of a task's share of rows by which hot keys are dealt out; many small parts even out over the tasks.
+PIECES = 32
 SPREAD_BY = ("doc_id", "question_id", "idx", "window_no")
 
 
@@ -38,19 +40,25 @@ def lookup_join(
 
 
 def hot_key_join(
-    facts: DataFrame, lookup: DataFrame, key: str, how: str = "inner", hot_rows: int = 200_000,
+    facts: DataFrame, lookup: DataFrame, key: str, how: str = "inner", hot_rows: int | None = None,
     spread_by: Sequence[str] = SPREAD_BY,
 ) -> DataFrame:
     """Join with a table that has one row per key and is large itself.
 
-    Only keys with more than ``hot_rows`` fact rows are spread, over as many salts as they need, so only
-    their lookup rows are repeated. Counting the keys reads ``facts`` once more: hand in a stored table.
+    Keys are hot that own more rows than ``hot_rows``, by default a ``PIECES``-th of what a task of the join would have if all
+    were alike. They are spread over as many salts as they own such parts, and only their lookup rows are repeated. Counting
+    the keys, in one aggregation that merges on each task, reads ``facts`` once more: hand in a stored table.
     """
     own = [c for c in spread_by if c in facts.columns and c != key]
-    hot = (
-        facts.groupBy(key).count().where(F.col("count") > hot_rows)
-        .select(key, F.ceil(F.col("count") / F.lit(hot_rows)).cast("int").alias("_salts"))
-    )
+    counts = facts.groupBy(key).agg(F.count("*").alias("_n"))
+    if hot_rows is None:
+        parts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        most = F.greatest(F.lit(1), F.ceil(counts.agg(F.sum("_n")).scalar() / F.lit(parts * PIECES)))
+    else:
+        most = F.lit(hot_rows)
+    hot = counts.where(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias("_salts"))
+    if hot_rows is None:
+        hot = F.broadcast(hot)  # each owns one of parts * PIECES shares, so there are no more than that
     salted = facts.join(hot, key, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(*own), F.coalesce("_salts", F.lit(1))).cast("int")
     )

@@ -171,17 +171,17 @@ def _expected_ids(mode: str) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.col("n_items") - 1), names))
 
 
-def with_answers(requests: DataFrame, answers: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def with_answers(requests: DataFrame, answers: DataFrame, spread: bool = False) -> DataFrame:
     """Requests with the parsed answers of their key; ``parsed`` is null where the request has none.
 
     Copies of one text share a key, so a key may own a large share of the requests. Spark splits such a
-    partition while the join runs; with ``hot_rows``, for stored requests, the key is spread beforehand.
+    partition while the join runs; with ``spread``, for stored requests, keys that own much are spread beforehand.
     """
     error = F.col("error") if "error" in answers.columns else F.lit(None).cast("string")
     parsed = answers.select("request_key", F.from_json("answers", ANSWERS_TYPE).alias("parsed"), error.alias("error"))
-    if hot_rows is None:
+    if not spread:
         return requests.join(parsed, "request_key", "left")
-    return hot_key_join(requests, parsed, "request_key", "left", hot_rows)
+    return hot_key_join(requests, parsed, "request_key", "left")
 
 
 def missing_answers(requests: DataFrame, answers: DataFrame, mode: str = "digest") -> DataFrame:
@@ -195,7 +195,7 @@ def missing_answers(requests: DataFrame, answers: DataFrame, mode: str = "digest
 
 def parse_answers(
     requests: DataFrame, answers: DataFrame, mode: str = "digest", size: int = DIGEST_WINDOW,
-    on_missing: str = "fail", hot_rows: int | None = None,
+    on_missing: str = "fail", spread: bool = False,
 ) -> DataFrame:
     """One judgment per item: ``doc_id, question_id, idx, p, role, role_p, confidence``.
 
@@ -205,7 +205,7 @@ def parse_answers(
     """
     if on_missing not in ("fail", "default"):
         raise ValueError("on_missing must be 'fail' or 'default'")
-    known, read = with_answers(requests, answers, hot_rows), F.col("parsed").isNotNull()
+    known, read = with_answers(requests, answers, spread), F.col("parsed").isNotNull()
     if on_missing == "default":
         known = known.where(read)
     else:

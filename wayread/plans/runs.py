@@ -72,7 +72,7 @@ def judge_with_usage(
     requests = make(J.make_windows(asked, size), questions, model)
     keys = settled(requests.select("request_key", "doc_id", "question_id", "window_no", "n_items"))
     answers = answer(requests, backend, store, concurrency, on_error, keys, counts)
-    parsed = J.parse_answers(keys, answers, mode, size, on_missing, hot_rows=200_000)
+    parsed = J.parse_answers(keys, answers, mode, size, on_missing, spread=True)
     return asked.join(parsed, ["doc_id", "question_id", "idx"], "left"), usage_of(keys, answers)
 
 
