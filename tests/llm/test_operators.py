@@ -355,3 +355,16 @@ def test_names_that_clash(spark):
     model = toxicity.fit(table, spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int"))
     for row in toxicity.scored(table, model).collect():
         assert [row[n] for n in names if n != "toxicity_"] == [f"{n}{row['doc_id']}" for n in names if n != "toxicity_"] and 0 <= row["toxicity_"] <= 1
+
+
+@pytest.mark.parametrize("rows_each", [1, 2, 10])
+def test_sharding_of_many_small_sources(spark, rows_each):
+    sources = 20_000 // rows_each
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % sources).cast("string")).alias("source"),
+                                      F.lit(5).alias("size"), F.lit(7).alias("text_crc32"), F.floor(F.col("id") / sources).alias("rank"))
+    cells = 20_000 // sharding.CELL
+    part = sharding.fractional_rank(F.col("rank"), F.lit(rows_each), 0)
+    largest = rows.groupBy(F.floor(part * cells).alias("cell")).count().agg(F.max("count")).first()[0]
+    assert largest <= 2.5 * 20_000 / cells
+    got = sharding.interleaved(rows.select("doc_id", F.lit("text").alias("text"), "source"), shards=8).groupBy("shard").count().collect()
+    assert [r["count"] for r in got] == [2500] * 8

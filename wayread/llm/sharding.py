@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayread.llm.common import settle
@@ -29,11 +29,21 @@ def _ranked(rows: DataFrame, group: list[str], at: str, order: list[str], cells:
         "cell", "cell_", "before", "local", *[f"{g}_" for g in group])
 
 
+def fractional_rank(rank: Column, rows: Column, seed: int) -> Column:
+    """Place of a row in [0, 1) by its rank in its source: drawn within the middle half of its slot.
+
+    Sources of equal size would have equal places otherwise, and all their rows one cell. A stretch of all places holds
+    its share of a source's rows to within one and a half, as slots are not left.
+    """
+    drawn = F.pmod(F.xxhash64("doc_id", "size", "text_crc32", F.lit(seed + 1)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    return (rank + 0.25 + drawn / 2) / rows
+
+
 def interleaved(documents: DataFrame, shards: int = 8, seed: int = 0) -> DataFrame:
     """``documents`` (doc_id, text, source) -> doc_id, source, size, text_crc32, shard, slot.
 
-    Within each source rows are shuffled by a seeded hash and ranked; the fractional rank (rank + 1/2) / rows of the source
-    orders all rows, and the order is cut into ``shards`` stretches whose counts differ by one at most. Each stretch then
+    Within each source rows are shuffled by a seeded hash and ranked; the fractional rank, from (rank + 1/4) / rows of the
+    source to (rank + 3/4) / rows, orders all rows, and the order is cut into ``shards`` stretches whose counts differ by one at most. Each stretch then
     holds every source in its share of the whole. ``slot`` is the place in the shard, without gaps from 0.
 
     Null texts count as empty (size 1); null sources are a source; null and repeated ids are rows like others, ties go by
@@ -49,7 +59,7 @@ def interleaved(documents: DataFrame, shards: int = 8, seed: int = 0) -> DataFra
     sizes = rows.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("of"))
     ties = ["doc_id", "size", "text_crc32"]
     ranked = _ranked(rows, ["source"], "draw", ["draw", *ties], cells, "rank").join(sizes, F.col("source").eqNullSafe(F.col("s")))
-    ranked = settle(ranked.withColumn("part", (F.col("rank") + 0.5) / F.col("of")).drop("s", "of", "rank"))
+    ranked = settle(ranked.withColumn("part", fractional_rank(F.col("rank"), F.col("of"), seed)).drop("s", "of", "rank"))
     placed = _ranked(ranked, [], "part", ["part", "draw", "source", *ties], cells, "place")
     shard = F.floor(F.col("place") * shards / F.lit(max(total, 1)))
     # rows before a shard: the smallest place with place * shards >= shard * total
