@@ -235,6 +235,21 @@ TABLES: dict[str, str] = {
                      string_agg({_entities('t')}, '' ORDER BY pos) AS text
               FROM owners WHERE is_text AND {_clean(_entities('t'))} <> '' GROUP BY ALL) b
         JOIN tags ON tags.page_id = b.page_id AND tags.pos = b.owner""",
+    "extents": f"""
+        SELECT o.page_id, o.pos AS block_id, o.name AS tag, coalesce(CASE
+               WHEN o.name IN {_LEAF} THEN (SELECT min(c.pos) - 1 FROM depths c WHERE c.page_id = o.page_id AND c.pos > o.pos
+                                            AND (c.name IN {_NEST} OR c.name IN {_LEAF}))
+               ELSE (SELECT min(c.pos) FROM depths c WHERE c.page_id = o.page_id AND c.pos > o.pos AND c.depth < o.depth) END, 2147483647) AS until
+        FROM depths o WHERE NOT o.is_text AND NOT o.ends AND (o.name IN {_NEST} OR o.name IN {_LEAF})""",
+    "kept_blocks": """
+        SELECT x.page_id, s.question_id, x.block_id, x.until
+        FROM (SELECT doc_id, question_id, block_id FROM web_selected UNION SELECT doc_id, question_id, heading_block_id FROM web_selected) s
+        JOIN extents x ON x.page_id = s.doc_id AND x.block_id = s.block_id""",
+    "focus_runs": """
+        SELECT r.*, (SELECT max(x.block_id) FROM extents x WHERE x.page_id = r.doc_id AND x.tag IN ('article', 'main')
+                     AND r.first_id BETWEEN x.block_id AND x.until) AS part
+        FROM (SELECT doc_id, question_id, arg_min(block_id, idx) AS first_id, min(block_id) AS least_id, max(block_id) AS last_id
+              FROM web_selected GROUP BY ALL) r""",
     "headed": f"""
         SELECT *, last_value(CASE WHEN tag ~ '^h[1-6]$' THEN {_clean('text')} END IGNORE NULLS) OVER w AS heading,
                last_value(CASE WHEN tag ~ '^h[1-6]$' THEN block_id END IGNORE NULLS) OVER w AS heading_block_id
@@ -438,6 +453,16 @@ ORACLE: dict[str, str] = {
         JOIN (SELECT DISTINCT doc_id, question_id FROM web_selected) r ON r.doc_id = b.page_id
         WHERE tag <> 'h1' AND NOT EXISTS (SELECT 1 FROM web_selected s WHERE s.doc_id = b.page_id AND s.question_id = r.question_id
               AND (s.block_id = b.block_id OR s.heading_block_id = b.block_id))""",
+    "background_containment": """
+        SELECT b.page_id, r.question_id, b.block_pos, b.tag FROM blocks b
+        JOIN extents x ON x.page_id = b.page_id AND x.block_id = b.block_id
+        JOIN focus_runs r ON r.doc_id = b.page_id
+        LEFT JOIN extents f ON f.page_id = b.page_id AND f.block_id = r.part
+        WHERE b.tag <> 'h1'
+          AND CASE WHEN r.least_id BETWEEN f.block_id AND f.until AND r.last_id BETWEEN f.block_id AND f.until
+                   THEN b.block_id > f.block_id AND b.block_id <= f.until ELSE b.tag <> 'body' END
+          AND NOT EXISTS (SELECT 1 FROM kept_blocks k WHERE k.page_id = b.page_id AND k.question_id = r.question_id
+              AND (k.block_id BETWEEN b.block_id AND x.until OR b.block_id BETWEEN k.block_id AND k.until))""",
     "web_reading_path": "SELECT doc_id, question_id, ord, idx, role, label, heading, text, is_catch FROM web_selected",
     # layout
     "layout_reading_order": "SELECT doc_id, page, number, reading_no FROM layout",

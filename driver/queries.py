@@ -216,6 +216,14 @@ def background_blocks(spark, sf):
     return D.background_blocks(blocks, selected).select("page_id", "question_id", "block_pos", "tag")
 
 
+@query
+def background_containment(spark, sf):
+    blocks = page_blocks(spark, sf)
+    selected = page_paths(spark, sf, blocks).withColumnRenamed("doc_id", "page_id")
+    found = D.background_around(blocks, B.html_extents(pages(spark, sf)), selected)
+    return found.select("page_id", "question_id", "block_pos", "tag")
+
+
 @query
 def web_reading_path(spark, sf):
     path = page_paths(spark, sf, page_blocks(spark, sf))

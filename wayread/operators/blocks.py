@@ -34,6 +34,7 @@ from wayread.functions.html import (
 )
 from wayread.functions.text import clean_headline, clean_text, split_long, word_count
 
+ROLE_MAIN = r"""(?i)\srole\s*=\s*["']?main["'\s/>]"""
 _UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 
 
@@ -66,9 +67,55 @@ def html_tokens(pages: DataFrame, doc: str = "page_id", html: str = "html") -> D
         doc, "pos", "name", opens.alias("opens"),
         (opens & (name.isin(HIDDEN_TAGS) | token.rlike(ARIA_HIDDEN))).alias("hides"),
         F.when(name.isNull(), decode_entities(token)).alias("text"),
+        (opens & (name.isin("article", "main") | token.rlike(ROLE_MAIN))).alias("focuses"),
     )
 
 
+def html_extents(pages: DataFrame, doc: str = "page_id", html: str = "html") -> DataFrame:
+    """Where the block elements of every page end: ``(doc, block_id, tag, until, focuses)``.
+
+    ``block_id`` is the token number of the opening tag as in ``html_blocks``, ``until`` the last token number of the element, so
+    one block is in another if its number lies between the other's two. Paragraphs and headings end before the next block tag. A
+    block left open ends before the next one left open, or with the closed block around it, or with the page. ``focuses`` marks
+    articles and main parts. The body is there for every page, under -1 where it has no tag. One shuffle, by page.
+    """
+    page = html_tokens(pages, doc, html).select(doc, "pos", "name", "opens", "focuses").repartition(doc)
+    nest, leaf = F.col("name").isin(NEST_BLOCK_TAGS), F.col("name").isin(LEAF_BLOCK_TAGS)
+    by_name = Window.partitionBy(doc, "name").orderBy("pos").rowsBetween(*_UP_TO_HERE)
+    level = F.sum(F.when(F.col("opens"), 1).otherwise(-1)).over(by_name) + F.when(F.col("opens"), 0).otherwise(1)
+    tags = page.where(nest | leaf).withColumn("level", level)
+    pairing = Window.partitionBy(doc, "name", "level").orderBy("pos")
+    tags = tags.withColumns({
+        "closed_at": F.when(F.col("opens") & ~F.lead("opens").over(pairing), F.lead("pos").over(pairing)),
+        "closes": ~F.col("opens") & F.coalesce(F.lag("opens").over(pairing), F.lit(False)),
+    })
+    paired = F.col("closed_at").isNotNull() | F.col("closes")
+    so_far = Window.partitionBy(doc).orderBy("pos").rowsBetween(*_UP_TO_HERE)
+    after = Window.partitionBy(doc).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    depth = F.when(nest & paired, F.when(F.col("opens"), 1).otherwise(-1)).otherwise(0)
+    ends_leaf = leaf | (nest & (F.col("opens") | paired))
+    tags = tags.withColumns({
+        "depth": F.sum(depth).over(so_far),
+        "next_tag": F.last(F.when(ends_leaf, F.col("pos")), ignorenulls=True).over(after),
+        "left_open": nest & F.col("opens") & ~paired,
+    })
+    here = F.struct("pos", "closed_at")
+    at_depth = Window.partitionBy(doc, "depth").orderBy("pos").rowsBetween(*_UP_TO_HERE)
+    around = F.last(F.when(nest & F.col("opens") & paired, here), ignorenulls=True).over(at_depth)
+    # at depth 0 the last block is closed already: the page is around
+    tags = tags.withColumn("around", F.when(F.col("depth") > 0, around))
+    among = Window.partitionBy(doc, "around.pos", "left_open").orderBy("pos")
+    page_end = F.lit(2**31 - 1)
+    until = (
+        F.when(leaf, F.coalesce(F.col("next_tag") - 1, page_end))
+        .when(F.col("left_open") & (F.col("name") != "body"), F.coalesce(F.lead("pos").over(among) - 1, F.col("around.closed_at"), page_end))
+        .otherwise(F.coalesce("closed_at", page_end))
+    )
+    found = tags.withColumn("until", until).where("opens").select(doc, F.col("pos").alias("block_id"), F.col("name").alias("tag"), "until", "focuses")
+    bodies = pages.select(doc, F.lit(-1).alias("block_id"), F.lit("body").alias("tag"), page_end.alias("until"), F.lit(False).alias("focuses"))
+    return found.unionByName(bodies)
+
+
 def html_blocks(pages: DataFrame, doc: str = "page_id", html: str = "html") -> DataFrame:
     """Text of every page grouped by nearest enclosing block, in the order of first text.
 

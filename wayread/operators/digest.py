@@ -220,3 +220,34 @@ def background_blocks(blocks: DataFrame, selected: DataFrame, doc: str = "page_i
     runs = selected.select(*key).distinct()
     shown = blocks.where(F.col("tag") != "h1").join(runs, doc)
     return shown.join(kept, [*key, "block_id"], "left_anti")
+
+
+def background_around(blocks: DataFrame, extents: DataFrame, selected: DataFrame, doc: str = "page_id") -> DataFrame:
+    """Blocks that recede behind a reading path, with nesting: ``background_blocks`` without those that hold, or lie in, a kept block.
+
+    ``extents`` are the elements of ``html_extents``. Where all selected passages lie in the innermost article or main part around the
+    first of them (by ``idx``), only blocks in that part recede, without the part itself; otherwise all of the page.
+    A run keeps a path and its headings only, so what it keeps is one short array; a page's parts are another.
+    """
+    key = [doc, "question_id"]
+    at = F.struct("block_id", "until")
+    ends = extents.select(doc, "block_id", "until", "focuses")
+    items = selected.select(*key, "idx", "block_id", F.explode(F.array("block_id", "heading_block_id")).alias("kept_id"))
+    items = items.where(F.col("kept_id").isNotNull()).join(ends.select(doc, F.col("block_id").alias("kept_id"), "until"), [doc, "kept_id"])
+    runs = items.groupBy(*key).agg(
+        F.collect_set(F.struct(F.col("kept_id").alias("block_id"), "until")).alias("kept"),
+        F.min(F.struct("idx", "block_id"))["block_id"].alias("first_id"),
+        F.min("block_id").alias("least_id"), F.max("block_id").alias("last_id"),
+    )
+    parts = ends.where("focuses").groupBy(doc).agg(F.collect_list(at).alias("parts"))
+    inside = lambda block, part: (part["block_id"] <= block) & (block <= part["until"])
+    part = F.array_max(F.filter("parts", lambda x: inside(F.col("first_id"), x)))
+    whole = F.struct(F.lit(-1).alias("block_id"), F.lit(2**31 - 1).alias("until"))
+    runs = runs.join(parts, doc, "left").withColumn("part", part).withColumn(
+        "root", F.when(inside(F.col("least_id"), F.col("part")) & inside(F.col("last_id"), F.col("part")), F.col("part")).otherwise(whole)
+    )
+    shown = blocks.where(F.col("tag") != "h1").join(ends.drop("focuses"), [doc, "block_id"]).join(runs, doc)
+    own = F.struct("block_id", "until")
+    touches = F.exists("kept", lambda k: inside(k["block_id"], own) | inside(F.col("block_id"), k))
+    is_root = (F.col("block_id") == F.col("root.block_id")) | ((F.col("tag") == "body") & (F.col("root.block_id") == -1))
+    return shown.where(inside(F.col("block_id"), F.col("root")) & ~is_root & ~touches).select(*blocks.columns, "question_id")
