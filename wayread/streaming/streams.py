@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -41,9 +42,13 @@ def stream_labels(spark: SparkSession, path: str, by: tuple[str, ...] = ("mode",
 
 
 def latest_runs(judged: DataFrame) -> DataFrame:
-    """Rows of the newest run of each document and question; answers of older runs are stale."""
-    newest = judged.groupBy(*GROUP).agg(F.max("run_id").alias("run_id"))
-    return judged.join(newest, [*GROUP, "run_id"], "left_semi")
+    """Rows of the newest run of each document and question; answers of older runs are stale.
+
+    A window by document and question brings the rows of a run together, where all that follows finds them.
+    """
+    newest = F.max("run_id").over(Window.partitionBy(*GROUP))
+    rows = judged.where(F.col(GROUP[0]).isNotNull() & F.col(GROUP[1]).isNotNull()).withColumn("_newest", newest)
+    return rows.where(F.col("run_id") == F.col("_newest")).drop("_newest")
 
 
 # --------------------------------------------------------------------------- tables that batches add to
@@ -129,12 +134,14 @@ def stream_judgments(
         _fold(session, table, ("paths", "signal"), "signal", GROUP, batch_id)
 
         _write(_bucket(tidy_judgments(batch)), table, "judged", batch_id, "bucket")
-        touched = _bucket(batch.select(*GROUP).distinct())
-        buckets = [r[0] for r in touched.select("bucket").distinct().collect()]
+        touched = batch.select(*GROUP).distinct()
+        buckets = [r[0] for r in _bucket(touched).select("bucket").distinct().collect()]
         history = _generation(session, table, "judged", batch_id, schema).where(F.col("bucket").isin(buckets))
-        rows = _held(history.join(touched, ["bucket", *GROUP], "left_semi")).drop("bucket")
+        # on the runs' key alone, as all that follows: the text is shuffled once, and kept until both results are written
+        rows = _held(history.join(touched, GROUP, "left_semi").drop("bucket")).persist(StorageLevel.DISK_ONLY)
         _write(signal_stats(rows, threshold), table, "signal", batch_id)
         _write(reading_path(select_digest(rows, threshold)), table, "paths", batch_id)
+        rows.unpersist()
 
     return spark.readStream.schema(JUDGED_SCHEMA).parquet(path).writeStream.foreachBatch(update)
 
