@@ -68,10 +68,9 @@ def judge_with_usage(
         raise ValueError("backend must be 'table', 'lexical' or a function")
 
     asked = items.join(runs.select("doc_id", "question_id"), "doc_id")
-    make = J.find_requests if mode == "find" else J.digest_requests
-    requests = make(J.make_windows(asked, size), questions, model)
-    keys = settled(requests.select("request_key", "doc_id", "question_id", "window_no", "n_items"))
-    answers = answer(requests, backend, store, concurrency, on_error, keys, counts)
+    windows = J.make_windows(asked, size)
+    keys = settled(J.window_requests(windows, questions, mode, model).drop("passage"))
+    answers = _ask(windows, keys, mode, backend, store, concurrency, on_error, counts)
     parsed = J.parse_answers(keys, answers, mode, size, on_missing, spread=True)
     return asked.join(parsed, ["doc_id", "question_id", "idx"], "left"), usage_of(keys, answers)
 
@@ -90,17 +89,45 @@ def answer(
 
     ``keys`` can name the requests' keys where they are at hand, so that requests are rendered once only.
     """
-    spark, once = requests.sparkSession, J.distinct_requests(requests)
+    once = J.distinct_requests(requests)
+    return _answers(once, requests if keys is None else keys, lambda new: J.call_judge(new, fn, concurrency, on_error), store, counts)
+
+
+def _ask(
+    windows: DataFrame, keys: DataFrame, mode: str, fn: Callable[[str], dict[str, Any]], store: str | None,
+    concurrency: int | None, on_error: str, counts: Counts | None,
+) -> DataFrame:
+    """Answers for windows whose ``keys`` are at hand.
+
+    Copies are merged, and the store is asked, by key alone. Then the windows that are left, one for each key, get their text,
+    in the one shuffle that brings their items together, and are written out where they are put to ``fn``.
+    """
+    place = ["doc_id", "question_id", "window_no"]
+    once = keys.groupBy("request_key").agg(F.min(F.struct(*place, "question")).alias("at"))
+
+    def call(new: DataFrame) -> DataFrame:
+        new = settled(new.select("request_key", "at.*"))  # read twice, counted once
+        texts = J.window_passages(windows.join(new.select(*place), place, "left_semi"), mode).join(new, place)
+        return J.call_judge(texts.withColumn("state", J.request_state(mode)), fn, concurrency, on_error, mode)
+
+    return _answers(once, keys, call, store, counts)
+
+
+def _answers(
+    once: DataFrame, keys: DataFrame, call: Callable[[DataFrame], DataFrame], store: str | None, counts: Counts | None,
+) -> DataFrame:
+    """Answers of different requests: ``call`` puts those that the store does not have."""
+    spark = once.sparkSession
     if store is None:
         marked = once.withColumn("stored", F.lit(False))
     else:
-        prefixes = R.prefixes_of(requests if keys is None else keys)
+        prefixes = R.prefixes_of(keys)
         known = R.read_calls(spark, store, prefixes).where(F.col("outcome") == R.DONE)
         marked = once.join(known.select("request_key", F.lit(True).alias("stored")).distinct(), "request_key", "left")
         marked = marked.withColumn("stored", F.coalesce("stored", F.lit(False)))
     if counts is not None:
         marked = marked.observe(counts.before, F.count_if("stored").alias("reused"), F.count_if(~F.col("stored")).alias("asked"))
-    calls = J.call_judge(marked.where(~F.col("stored")), fn, concurrency, on_error)
+    calls = call(marked.where(~F.col("stored")))
     if counts is not None:
         answered = F.col("answers").isNotNull()
         calls = calls.observe(counts.after, F.count_if(answered).alias("done"), F.count_if(~answered).alias("failed"))
