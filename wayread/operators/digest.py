@@ -26,6 +26,8 @@ from wayread.functions.text import word_count
 GROUP = ("doc_id", "question_id")
 #: Ranks of a role that a selection can reach.
 REACH = MAX_PATH + len(ROLE_NAMES) - 1
+#: Parts of a sweep for each partition of a shuffle.
+SWEEP_PARTS = 4
 
 
 def select_digest(
@@ -128,7 +130,8 @@ def threshold_sweep(
     Signal is one aggregation with a column per threshold. Selections change only where a threshold passes the ``p`` of an
     item, so items between two thresholds of the grid are alike: of each role the best of such a level hold back all others
     at every threshold these reach. Only they are shuffled, once and without their text, however long the grid is; they are
-    repeated for their thresholds where their run has been brought together.
+    repeated for their thresholds where their run has been brought together, in parts so small that the repeated rows, which
+    every window sorts, still fit.
     """
     grid = sorted(set(thresholds or threshold_grid()))
     words = word_count(F.col("text")).cast("long")
@@ -155,7 +158,8 @@ def threshold_sweep(
         *group, "idx", "p", "role", "role_p", reached.alias("reached"), digest_score(F.col("p"), F.col("role"), F.col("role_p")).alias("score")
     )
     shortlist = able.where(F.col("reached") > 0).withColumn("place", F.row_number().over(best)).where(F.col("place") <= REACH)
-    by_level = shortlist.repartition(*group).select(
+    parts = int(judged.sparkSession.conf.get("spark.sql.shuffle.partitions")) * SWEEP_PARTS
+    by_level = shortlist.repartition(parts, *group).select(
         *group, "idx", "p", "role", "role_p", F.posexplode(F.slice(levels, 1, F.col("reached"))).alias("level", "cut")
     )
     key = [*group, "level"]
