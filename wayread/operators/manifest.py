@@ -46,8 +46,10 @@ def require_text(documents: DataFrame, passages: DataFrame) -> None:
 def with_text(documents: DataFrame, passages: DataFrame) -> DataFrame:
     """``passages``, in a plan that fails when it runs if any document has none. No job of its own."""
     lost = F.raise_error(F.concat(F.lit("no text found in document "), F.col("doc_id").cast("string"))).cast("boolean")
-    empty = documents_without_text(documents, passages).where(lost)
-    return passages.unionByName(empty, allowMissingColumns=True)
+    # by a count, which the failing condition cannot be moved below
+    both = documents.select("doc_id", F.lit(0).alias("found")).unionByName(passages.select("doc_id", F.lit(1).alias("found")))
+    empty = both.groupBy("doc_id").agg(F.max("found").alias("found")).where(F.when(F.col("found") == 1, False).otherwise(lost))
+    return passages.unionByName(empty.select("doc_id"), allowMissingColumns=True)
 
 
 def _box(quad: Column) -> Column:
