@@ -35,6 +35,8 @@ from wayread.functions.html import (
 from wayread.functions.text import clean_headline, clean_text, split_long, word_count
 
 ROLE_MAIN = r"""(?i)\srole\s*=\s*["']?main["'\s/>]"""
+#: Pages whose tokens one task sorts.
+PAGES_PER_TASK = 500
 _UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 
 
@@ -71,6 +73,13 @@ def html_tokens(pages: DataFrame, doc: str = "page_id", html: str = "html") -> D
     )
 
 
+def _by_page(rows: DataFrame, pages: DataFrame, doc: str) -> DataFrame:
+    """``rows`` brought together by page. Every window over them sorts all rows of its task, so tasks get a bounded number of pages
+    each; merged by the size of what was shuffled, they would grow with the input."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-pages.count() // PAGES_PER_TASK))
+    return rows.repartition(tasks, doc)
+
+
 def html_extents(pages: DataFrame, doc: str = "page_id", html: str = "html") -> DataFrame:
     """Where the block elements of every page end: ``(doc, block_id, tag, until, focuses)``.
 
@@ -79,7 +88,8 @@ def html_extents(pages: DataFrame, doc: str = "page_id", html: str = "html") ->
     block left open ends before the next one left open, or with the closed block around it, or with the page. ``focuses`` marks
     articles and main parts. The body is there for every page, under -1 where it has no tag. One shuffle, by page.
     """
-    page = html_tokens(pages, doc, html).select(doc, "pos", "name", "opens", "focuses").repartition(doc)
+    page = html_tokens(pages, doc, html).select(doc, "pos", "name", "opens", "focuses")
+    page = _by_page(page, pages, doc)
     nest, leaf = F.col("name").isin(NEST_BLOCK_TAGS), F.col("name").isin(LEAF_BLOCK_TAGS)
     by_name = Window.partitionBy(doc, "name").orderBy("pos").rowsBetween(*_UP_TO_HERE)
     level = F.sum(F.when(F.col("opens"), 1).otherwise(-1)).over(by_name) + F.when(F.col("opens"), 0).otherwise(1)
@@ -124,9 +134,9 @@ def html_blocks(pages: DataFrame, doc: str = "page_id", html: str = "html") -> D
     tags; a block left open encloses the rest of the closed block around it, up to the next open one.
     Paragraphs and headings hold no blocks and end at the next block tag.
 
-    All windows are keyed by the page, so the tokens are shuffled once.
+    All windows are keyed by the page, so the tokens are shuffled once, to as many tasks as the pages need.
     """
-    page = html_tokens(pages, doc, html).repartition(doc)
+    page = _by_page(html_tokens(pages, doc, html), pages, doc)
 
     level = F.sum(F.when(F.col("opens"), 1).otherwise(-1)).over(
         Window.partitionBy(doc, "name").orderBy("pos").rowsBetween(*_UP_TO_HERE)
@@ -229,14 +239,15 @@ def page_band(y0: Column, y1: Column, page_y0: Column, page_y1: Column, share: f
 
 
 def layout_texts(layout: DataFrame) -> DataFrame:
-    """Layout blocks with text, band and centre; blocks without text are dropped."""
-    return layout.withColumns(
+    """Layout blocks with text, band and centre; blocks without text are dropped, before their text is cleaned."""
+    filled = F.exists("lines", lambda x: F.ltrim(x["text"], F.lit(WS_CHARS)) != "")
+    return layout.where(filled).withColumns(
         {
             "text": block_text(F.col("lines")),
             "band": page_band(F.col("y0"), F.col("y1"), F.col("page_y0"), F.col("page_y1")),
             "center_x": (F.col("x0") + F.col("x1")) / 2,
         }
-    ).where(F.col("text") != "")
+    )
 
 
 def _page_window(doc: str) -> Window:
