@@ -53,3 +53,12 @@ def test_repeated_rows_of_a_sweep_are_not_merged_into_few_tasks(spark):
 def test_only_labelled_documents_are_cut_for_label_records(spark, sf_dir):
     lines = plan(Q.records(spark, sf_dir)).split("\n")
     assert any("LeftSemi" in line for line in lines)
+
+
+def test_layout_blocks_of_blanks_are_dropped(spark):
+    lines = [["a", " b"], ["  \t"], [None], [], None, ["", "c"]]
+    rows = [(1, 1, i, x and [(t, None, 1.0, False) for t in x] if x is not None else None) for i, x in enumerate(lines)]
+    frame = spark.createDataFrame(rows, "doc_id long, page int, number int, lines array<struct<text: string, quad: array<double>, size: double, bold: boolean>>")
+    for c in ("x0", "y0", "x1", "y1", "page_y0", "page_y1"):
+        frame = frame.selectExpr("*", f"0D AS {c}")
+    assert [(r.number, r.text) for r in B.layout_texts(frame).orderBy("number").collect()] == [(0, "a b"), (5, "c")]
