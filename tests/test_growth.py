@@ -6,6 +6,9 @@ from driver import queries as Q
 from wayread.operators import blocks as B
 from wayread.operators import digest as D
 from wayread.operators import judge as J
+from wayread.plans import runs as L
+from wayread.plans.lineage import settled
+from wayread.plans.recorded import layout_from_lines
 from wayread.streaming import streams as S
 
 
@@ -62,3 +65,46 @@ def test_layout_blocks_of_blanks_are_dropped(spark):
     for c in ("x0", "y0", "x1", "y1", "page_y0", "page_y1"):
         frame = frame.selectExpr("*", f"0D AS {c}")
     assert [(r.number, r.text) for r in B.layout_texts(frame).orderBy("number").collect()] == [(0, "a b"), (5, "c")]
+
+
+def test_a_layout_run_reads_lines_once_and_keeps_judgments_without_text(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(L, "settled", lambda df: kept.append((df.columns, plan(df))) or settled(df))
+    texts = spark.createDataFrame([(i, f"Title {i}\nOne passage of document {i} that is long enough\nAnd one more passage of {i} that is long enough") for i in range(6)], "doc_id long, text string")
+    docs = texts.selectExpr("doc_id", "concat('doc/', doc_id) AS path", "text AS content")
+    questions = spark.createDataFrame([(0, "What is it?"), (1, "Why is it?")], "question_id long, question string")
+    runs = texts.selectExpr("doc_id", "explode(array(0L, 1L)) AS question_id")
+    manifests, _ = L.digest_layout(docs, layout_from_lines(texts), runs, questions, backend=Q.by_length())
+    assert sum(p.count("regexp_extract_all") for _, p in kept) == 1
+    judged = [columns for columns, _ in kept if "role_p" in columns]
+    assert len(judged) == 1 and "text" not in judged[0] and "quads" not in judged[0]
+    rows = [(r.doc_id, r.question_id, r.manifest) for r in manifests.collect()]
+    assert all(len(p.quads) == 1 and str(d) in p.text for d, _, m in rows for p in m.passages) and {m.source.pages for _, _, m in rows} == {1}
+
+
+def test_content_goes_no_further_than_its_digest(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = spark.createDataFrame([(1, "A passage of this document that is long enough")], "doc_id long, text string")
+        docs = texts.selectExpr("doc_id", "'p' AS path", "text AS content")
+        questions = spark.createDataFrame([(0, "What is it?")], "question_id long, question string")
+        manifests, _ = L.digest_layout(docs, layout_from_lines(texts), texts.selectExpr("doc_id", "0L AS question_id"), questions, backend=Q.by_length())
+        lines = plan(manifests).split("\n")
+        (at,) = [i for i, line in enumerate(lines) if "sha2(" in line]
+        assert not any("Exchange" in line for line in lines[at + 1:at + 3])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lines_of_a_window_are_put_together_once_for_all_runs(spark):
+    items = spark.createDataFrame([(d, i, f"Line {i} of {d}", "Head" if i == 1 else None) for d in (1, 2) for i in range(5)] + [(None, 0, "x", None)], "doc_id long, idx int, text string, heading string")
+    runs = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 0), (3, 0), (None, 0), (1, 9)], "doc_id long, question_id long")
+    questions = spark.createDataFrame([(0, "What?"), (1, "Why?"), (1, "Why not?")], "question_id long, question string")
+    for mode in ("find", "digest"):
+        old = J.window_requests(J.make_windows(items.join(runs, "doc_id"), 3), questions, mode)
+        new = J.run_keys(J.make_windows(items, 3), runs, questions, mode)
+        place = ["request_key", "doc_id", "question_id", "window_no", "n_items", "question"]
+        assert sorted(new.select(*place).collect()) == sorted(old.select(*place).collect())
+        # copies of a question double a run's windows, a run listed twice its lines
+        assert sorted((r.doc_id, r.question_id, r.window_no, r.n_items) for r in new.collect()) == [
+            (1, 0, 0, 3), (1, 0, 1, 2), (1, 1, 0, 3), (1, 1, 0, 3), (1, 1, 1, 2), (1, 1, 1, 2), (2, 0, 0, 6), (2, 0, 1, 4)]

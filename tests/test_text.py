@@ -1,4 +1,5 @@
 import random
+import re
 
 import plain
 import pytest
@@ -82,3 +83,19 @@ def test_trim_span(spark):
     assert (span["s"], span["e"]) == (4, 6)
     (span,) = column(spark, ["ab    ef"], T.trim_span(F.col("t"), F.lit(2), F.lit(6)))
     assert span["s"] == span["e"]
+
+
+def test_cleaned_text_is_cut_like_any(spark):
+    words = "word and then some " * 90
+    texts = ["", " ", " a ", "a  b", "a b \tc", " x\n\ny ", words, "y" * 2000, words + "\x1c " + words, "a\x1db\x1e\x1e c", words + "\n" + "z" * 1000 + " " + words,
+             "a\u2028 b \u3000\u00a0c\x85d \x0b", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").withColumn("clean", T.clean_text(F.col("text")))
+    for r in df.select("text", "clean", T.split_long(F.col("clean")).alias("want"), T.split_clean(F.col("clean")).alias("got"), T.word_count(F.col("text")).alias("n"),
+                       T.clean_word_count(F.col("clean")).alias("m")).collect():
+        assert r.got == r.want and r.m == r.n
+        assert r.text is None or r.clean == re.sub(r"[^\S\x1c-\x1f]+", " ", r.text).strip(" ")
+
+
+def test_item_names_have_two_digits_or_more(spark):
+    df = spark.createDataFrame([(n,) for n in (0, 8, 9, 98, 99, 12345, -1, -5, None)], "n int")
+    assert [r[0] for r in df.select(T.item_id("P", F.col("n"))).collect()] == ["P01", "P09", "P10", "P99", "P100", "P12346", "P00", "P-4", "Pnull"]

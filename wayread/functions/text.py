@@ -25,6 +25,8 @@ from wayread.functions.arrays import let, prefix_sums
 
 # The same characters as ``constants.WS``, as the property that Java tests fastest.
 _WS = r"\p{IsWhite_Space}"
+# Whitespace that is not one space already: few matches, each of which costs more than many characters passed over.
+_NOT_ONE_SPACE = rf" {_WS}++|[{_WS}&&[^ ]]{_WS}*+"
 # ``constants.LINE_END`` and the other whitespace, with the quick test for whitespace in front.
 _LINE_END = r"[\x{1c}-\x{1e}[\p{IsWhite_Space}&&[\n-\r\x{85}\x{2028}\x{2029}]]]"
 _INLINE = r"[\p{IsWhite_Space}&&[^\n-\r\x{85}\x{2028}\x{2029}]]"
@@ -32,15 +34,17 @@ _INLINE = r"[\p{IsWhite_Space}&&[^\n-\r\x{85}\x{2028}\x{2029}]]"
 
 def clean_text(c: Column) -> Column:
     """Collapse runs of Unicode whitespace to one space and trim."""
-    return F.trim(F.regexp_replace(c, _WS + "+", " "))
+    return F.trim(F.regexp_replace(c, _NOT_ONE_SPACE, " "))
+
+
+def clean_word_count(t: Column) -> Column:
+    """Words of a cleaned text: one more than its spaces."""
+    return F.when(t == "", F.lit(0)).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1)
 
 
 def word_count(c: Column) -> Column:
-    """Number of whitespace-separated words: one more than the spaces of the cleaned text."""
-    return let(
-        clean_text(c),
-        lambda t: F.when(t == "", F.lit(0)).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1),
-    )
+    """Number of whitespace-separated words."""
+    return let(clean_text(c), clean_word_count)
 
 
 def rfind(c: Column, limit: int) -> Column:
@@ -78,7 +82,9 @@ def clean_headline(c: Column) -> Column:
 
 def item_id(prefix: str, pos: Column) -> Column:
     """``P01`` for position 0; wider numbers keep all their digits."""
-    return F.format_string(prefix + "%02d", (pos + 1).cast("int"))
+    n = (pos + 1).cast("int")
+    digits = F.coalesce(n.cast("string"), F.lit("null"))
+    return F.concat(F.when(n.between(0, 9), F.lit(f"{prefix}0")).otherwise(F.lit(prefix)), digits)
 
 
 def trim_span(c: Column, s: Column, e: Column) -> Column:
@@ -144,12 +150,24 @@ def split_long(c: Column, limit: int = MAX_PASSAGE_LEN) -> Column:
     A line that is too long is cut at the last space before the limit, or at the limit itself when that
     space would leave half a piece or less.
     """
-    lined = F.regexp_replace(F.regexp_replace(c, _INLINE + "+", " "), rf" ?+{_LINE_END}(?:{_LINE_END}| )*+", "\n")
+    return _split(c, clean_text(c), _lined(F.regexp_replace(c, _INLINE + "+", " ")), limit)
+
+
+def split_clean(c: Column, limit: int = MAX_PASSAGE_LEN) -> Column:
+    """``split_long`` of text that ``clean_text`` has gone over: of the line ends only separators can be left."""
+    separated = F.contains(c, F.lit("\x1c")) | F.contains(c, F.lit("\x1d")) | F.contains(c, F.lit("\x1e"))
+    return _split(c, c, F.when(separated, _lined(c)).otherwise(c), limit)
+
+
+def _lined(c: Column) -> Column:
+    return F.regexp_replace(c, rf" ?+{_LINE_END}(?:{_LINE_END}| )*+", "\n")
+
+
+def _split(c: Column, whole: Column, lined: Column, limit: int) -> Column:
     piece = (
         rf"[ \n]?((?=[^\n]{{{limit + 1}}})(?:[^\n]{{{limit // 2 + 1},{limit - 1}}}(?= )|[^\n]{{{limit}}})|[^\n]+)"
     )
     pieces = F.regexp_extract_all(F.trim(lined, F.lit(" \n")), F.lit(piece), F.lit(1))
-    whole = clean_text(c)
     return (
         F.when(c.isNull(), F.lit(None).cast("array<string>"))
         .when(F.length(c) <= limit, F.filter(F.array(whole), lambda p: p != ""))

@@ -32,7 +32,7 @@ from wayread.functions.html import (
     tokens,
     without_tags,
 )
-from wayread.functions.text import clean_headline, clean_text, split_long, word_count
+from wayread.functions.text import clean_headline, clean_text, split_clean, word_count
 
 ROLE_MAIN = r"""(?i)\srole\s*=\s*["']?main["'\s/>]"""
 #: Pages whose tokens one task sorts.
@@ -304,18 +304,19 @@ def repeated_texts(layout: DataFrame, doc: str = "doc_id") -> DataFrame:
 def _repeats_by_page(layout: DataFrame, doc: str) -> DataFrame:
     """Running headers and footers of each page: ``(doc, page, repeats, n_long)``.
 
-    ``n_long`` counts those blocks among them that are long enough to be passages. Both sides of the join
-    come from one aggregation, which Spark computes once.
+    ``n_long`` counts those blocks among them that are long enough to be passages. The pages that have a text in a band are
+    listed while the pages of the text are counted, so blocks are read once.
     """
-    texts = _short_texts(layout, doc).select(doc, "text", "page", "n_band")
+    in_band = F.when(F.col("n_band") > 0, F.struct("page", "n_band"))
     repeated = (
-        texts.groupBy(doc, "text")
-        .agg(F.count("*").alias("n_pages"), F.sum("n_band").alias("n_band"))
-        .where((F.col("n_pages") >= REPEAT_MIN_PAGES) & (F.col("n_band") > 0))
+        _short_texts(layout, doc)
+        .groupBy(doc, "text")
+        .agg(F.count("*").alias("n_pages"), F.collect_list(in_band).alias("found"))
+        .where(F.col("n_pages") >= REPEAT_MIN_PAGES)
     )
-    in_band = texts.where(F.col("n_band") > 0).join(repeated.select(doc, "text"), [doc, "text"], "left_semi")
+    each = repeated.select(doc, "text", F.inline("found"))
     long_ones = F.sum(F.when(F.length("text") >= MIN_PASSAGE_LEN, F.col("n_band")).otherwise(0))
-    return in_band.groupBy(doc, "page").agg(F.collect_set("text").alias("repeats"), long_ones.alias("n_long"))
+    return each.groupBy(doc, "page").agg(F.collect_set("text").alias("repeats"), long_ones.alias("n_long"))
 
 
 def _mark_repeated(blocks: DataFrame, repeats: DataFrame, doc: str) -> DataFrame:
@@ -341,20 +342,51 @@ def drop_repeated(layout: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 def attach_heading_layout(layout: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Adds ``heading``: the block right before on the same page, if it is short and larger or bolder."""
-    order = _page_window(doc)
+    return _heading_before(_styled(layout), doc)
+
+
+def _styled(layout: DataFrame) -> DataFrame:
+    """Adds largest ``size``, ``bold``, and ``title``: the text, if it is short enough for a heading."""
     filled = layout.withColumn("filled", filled_lines(F.col("lines")))
-    styled = filled.withColumns(
-        {"size": F.array_max(F.col("filled")["size"]), "bold": F.array_contains(F.col("filled")["bold"], True)}
+    few_words = F.when(F.length("text") <= HEADING_MAX_LEN, word_count(F.col("text")) <= HEADING_MAX_WORDS)
+    return filled.withColumns(
+        {
+            "size": F.array_max(F.col("filled")["size"]),
+            "bold": F.array_contains(F.col("filled")["bold"], True),
+            "title": F.when(few_words, F.col("text")),
+        }
     ).drop("filled")
-    text, prev_size, prev_bold = (F.lag(c).over(order) for c in ("text", "size", "bold"))
-    compared = styled.withColumns({"prev_text": text, "prev_size": prev_size, "prev_bold": prev_bold})
+
+
+def _heading_before(styled: DataFrame, doc: str) -> DataFrame:
+    """``heading`` in place of the columns of ``_styled``."""
+    order = _page_window(doc)
+    title, prev_size, prev_bold = (F.lag(c).over(order) for c in ("title", "size", "bold"))
+    compared = styled.withColumns({"prev_title": title, "prev_size": prev_size, "prev_bold": prev_bold})
     own_size = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(F.col("size"))
     larger = (F.col("prev_size") > 0) & (F.col("prev_size") >= own_size * HEADING_SIZE_RATIO)
     bolder = F.col("prev_bold") & ~F.col("bold")
-    short = (F.length("prev_text") <= HEADING_MAX_LEN) & (word_count(F.col("prev_text")) <= HEADING_MAX_WORDS)
     return compared.withColumn(
-        "heading", F.when(short & (larger | bolder), F.col("prev_text")).otherwise(F.lit(""))
-    ).drop("size", "bold", "prev_text", "prev_size", "prev_bold")
+        "heading", F.when(F.col("prev_title").isNotNull() & (larger | bolder), F.col("prev_title")).otherwise(F.lit(""))
+    ).drop("size", "bold", "title", "prev_title", "prev_size", "prev_bold")
+
+
+def layout_pieces(layout: DataFrame) -> DataFrame:
+    """What passages need of every layout block, its lines read and its text cut once. No shuffle.
+
+    ``text`` is kept where it is short enough to be a heading or to be repeated, all of it is in ``pieces``, and ``quads`` has
+    the boxes of the block.
+    """
+    long_enough = F.length("text") >= MIN_PASSAGE_LEN
+    pieces = F.when(long_enough, F.filter(split_clean(F.col("text")), lambda t: F.length(t) >= MIN_PASSAGE_LEN))
+    boxes = F.transform(
+        F.filter(filled_lines(F.col("lines")), lambda x: x["quad"].isNotNull()),
+        lambda x: F.struct(F.col("page").alias("page"), x["quad"].alias("quad")),
+    )
+    cut = _styled(layout_texts(layout)).withColumns({"pieces": pieces, "quads": F.when(long_enough, boxes)})
+    short = F.when(F.length("text") <= max(HEADING_MAX_LEN, REPEAT_MAX_LEN), F.col("text"))
+    n_pieces = F.coalesce(F.size("pieces"), F.lit(0))
+    return cut.withColumns({"text": short, "n_pieces": F.when(n_pieces > 0, n_pieces).otherwise(0)}).drop("lines")
 
 
 def passages_layout(layout: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -363,30 +395,26 @@ def passages_layout(layout: DataFrame, doc: str = "doc_id") -> DataFrame:
     A dropped header still counts as the block before the next one. The heading goes to the first piece of a
     block only; every piece carries the boxes of the whole block.
     """
-    texts = layout_texts(layout)
-    long_enough = F.length("text") >= MIN_PASSAGE_LEN
-    pieces = F.filter(split_long(F.col("text")), lambda t: F.length(t) >= MIN_PASSAGE_LEN)
+    return passages_of_pieces(layout_pieces(layout), doc)
 
+
+def passages_of_pieces(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Passages of the blocks of ``layout_pieces``. Blocks are read three times: hand in a stored table where they are many."""
+    has_pieces = F.col("n_pieces") > 0
     # Pieces per page, from partial sums of narrow rows. A repeated block has one piece if it is long enough.
-    repeats = _repeats_by_page(texts, doc)
+    repeats = _repeats_by_page(blocks, doc)
     counts = (
-        texts.where(long_enough)
+        blocks.where(has_pieces)
         .groupBy(doc, "page")
-        .agg(F.sum(F.size(pieces)).alias("n"))
+        .agg(F.sum("n_pieces").alias("n"))
         .join(repeats.select(doc, "page", "n_long"), [doc, "page"], "left")
         .select(doc, "page", (F.col("n") - F.coalesce("n_long", F.lit(0))).alias("n"))
     )
     offsets = page_offsets(counts, doc)
 
-    numbered = attach_heading_layout(texts, doc).withColumn("page_no", F.row_number().over(_page_window(doc)))
-    body = _mark_repeated(numbered, repeats, doc).where(~F.col("is_repeat") & long_enough)
-    boxes = F.transform(
-        F.filter(filled_lines(F.col("lines")), lambda x: x["quad"].isNotNull()),
-        lambda x: F.struct(F.col("page").alias("page"), x["quad"].alias("quad")),
-    )
-    items = body.select(
-        doc, "page", "page_no", "heading", boxes.alias("quads"), F.posexplode(pieces).alias("piece", "text")
-    )
+    numbered = _heading_before(blocks, doc).withColumn("page_no", F.row_number().over(_page_window(doc)))
+    body = _mark_repeated(numbered, repeats, doc).where(~F.col("is_repeat") & has_pieces)
+    items = body.select(doc, "page", "page_no", "heading", "quads", F.posexplode("pieces").alias("piece", "text"))
     in_page = Window.partitionBy(doc, "page").orderBy("page_no", "piece")
     local = items.withColumn("local", F.row_number().over(in_page) - 1)
     return local.join(offsets, [doc, "page"]).select(

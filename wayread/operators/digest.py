@@ -97,8 +97,11 @@ def mark_catch(selected: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
 def signal_stats(
     judged: DataFrame, threshold: float | Column = DEFAULT_THRESHOLD, group: Sequence[str] = GROUP
 ) -> DataFrame:
-    """Words of judged items and of those that are needed, per group, and their ratio to four digits."""
-    words = word_count(F.col("text")).cast("long")
+    """Words of judged items and of those that are needed, per group, and their ratio to four digits.
+
+    Items that come with their number of ``words`` need no text.
+    """
+    words = F.col("words") if "words" in judged.columns else word_count(F.col("text")).cast("long")
     hit = (F.col("p") >= threshold) & needed(F.col("role"))
     return (
         judged.select(*group, words.alias("words"), "p", "role")

@@ -62,7 +62,10 @@ def manifest(
     path: DataFrame, signal: DataFrame, usage: DataFrame, source: DataFrame, questions: DataFrame,
     config: dict[str, Any],
 ) -> DataFrame:
-    """One row per run with a path: ``(doc_id, question_id, manifest)``. At most seven passages are nested."""
+    """One row per run with a path: ``(doc_id, question_id, manifest)``. At most seven passages are nested.
+
+    ``source`` has a row per document or, with ``question_id``, per run; the latter is joined where the passages are.
+    """
     fields = [F.col(c).alias(name) for c, name in _PASSAGE]
     if "quads" in path.columns:
         quads = F.transform(
@@ -79,7 +82,7 @@ def manifest(
     return (
         nested.join(signal, key, "left")
         .join(usage, key, "left")
-        .join(source, "doc_id", "left")
+        .join(source, [c for c in key if c in source.columns], "left")
         .join(questions.select(*question_key(questions), "question"), question_key(questions), "left")
         .select(
             *key,

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wayread.constants import DEFAULT_MODEL, DEFAULT_THRESHOLD, DIGEST_WINDOW, FIND_WINDOW, MIN_QUERY_LEN, WS_CHARS
+from wayread.functions.text import clean_word_count
 from wayread.operators import judge as J
-from wayread.operators.blocks import html_blocks, page_headline, passages_layout
+from wayread.operators.blocks import html_blocks, layout_pieces, page_headline, passages_of_pieces
 from wayread.operators.digest import reading_path, select_digest, signal_stats
 from wayread.operators.find import find_matches
 from wayread.operators.manifest import annotation_plan, manifest, source_info, with_text
@@ -67,11 +68,11 @@ def judge_with_usage(
     if not callable(backend):
         raise ValueError("backend must be 'table', 'lexical' or a function")
 
-    asked = items.join(runs.select("doc_id", "question_id"), "doc_id")
-    windows = J.make_windows(asked, size)
-    keys = settled(J.window_requests(windows, questions, mode, model).drop("passage"))
+    windows = J.make_windows(items, size)
+    keys = settled(J.run_keys(windows, runs, questions, mode, model))
     answers = _ask(windows, keys, mode, backend, store, concurrency, on_error, counts)
     parsed = J.parse_answers(keys, answers, mode, size, on_missing, spread=True)
+    asked = items.join(runs.select("doc_id", "question_id"), "doc_id")
     return asked.join(parsed, ["doc_id", "question_id", "idx"], "left"), usage_of(keys, answers)
 
 
@@ -97,17 +98,19 @@ def _ask(
     windows: DataFrame, keys: DataFrame, mode: str, fn: Callable[[str], dict[str, Any]], store: str | None,
     concurrency: int | None, on_error: str, counts: Counts | None,
 ) -> DataFrame:
-    """Answers for windows whose ``keys`` are at hand.
+    """Answers for windows of documents whose ``keys`` are at hand.
 
     Copies are merged, and the store is asked, by key alone. Then the windows that are left, one for each key, get their text,
     in the one shuffle that brings their items together, and are written out where they are put to ``fn``.
     """
-    place = ["doc_id", "question_id", "window_no"]
-    once = keys.groupBy("request_key").agg(F.min(F.struct(*place, "question")).alias("at"))
+    place = ["doc_id", "window_no"]
+    at = F.struct("doc_id", "question_id", "window_no", "question", "copies")
+    once = keys.groupBy("request_key").agg(F.min(at).alias("at"))
 
     def call(new: DataFrame) -> DataFrame:
         new = settled(new.select("request_key", "at.*"))  # read twice, counted once
-        texts = J.window_passages(windows.join(new.select(*place), place, "left_semi"), mode).join(new, place)
+        lines = J.window_lines(windows.join(new.select(*place), place, "left_semi"), mode)
+        texts = J.with_passage(lines.join(new, place))
         return J.call_judge(texts.withColumn("state", J.request_state(mode)), fn, concurrency, on_error, mode)
 
     return _answers(once, keys, call, store, counts)
@@ -173,22 +176,28 @@ def digest_layout(
 ) -> tuple[DataFrame, DataFrame]:
     """Manifests, with boxes, and annotation plans of laid-out documents.
 
-    ``documents`` has ``doc_id, path, content``, ``layout`` the blocks of their pages. Passages and judged items are each
-    computed once and kept; all results read those. With ``on_empty='fail'`` a document without any passage fails the run
-    before its passages are judged, with ``'skip'`` it has no results.
+    ``documents`` has ``doc_id, path, content``, ``layout`` the blocks of their pages. Pieces of blocks, passages and judgments
+    are each computed once and kept; all results read those. Judgments are kept without the passages they are about: paths
+    are selected from numbers and roles, and only selected items get their text. With ``on_empty='fail'`` a document without
+    any passage fails the run before its passages are judged, with ``'skip'`` it has no results.
     """
     if on_empty not in ("fail", "skip"):
         raise ValueError("on_empty must be 'fail' or 'skip'")
-    passages = settled(passages_layout(layout))
+    passages = passages_of_pieces(settled(layout_pieces(layout)))
+    passages = settled(passages.withColumn("words", clean_word_count(F.col("text")).cast("long")))
     if on_empty == "fail":
         passages = settled(with_text(documents, passages))
     judged, usage = judge_with_usage(passages, runs, questions, backend, **options)
-    judged = settled(judged)
-    path = reading_path(select_digest(judged, threshold))
-    counted = documents.join(layout.groupBy("doc_id").agg(F.max("page").alias("pages")), "doc_id", "left")
-    source = source_info(counted, "content", F.col("path"), F.coalesce("pages", F.lit(0)))
+    judged = settled(judged.select("doc_id", "question_id", "idx", "words", "p", "role", "role_p", "confidence"))
+    selected, signal = select_digest(judged, threshold), signal_stats(judged, threshold)
+    path = reading_path(selected.join(passages.drop("words"), ["doc_id", "idx"]))
+    # the content goes no further than its digest; a source goes to its runs, not their texts to the source
+    n_pages = layout.groupBy("doc_id").agg(F.max("page").alias("pages"))
+    source = source_info(documents, "content", F.col("path"), F.lit(0)).join(n_pages, "doc_id", "left")
+    paged = F.col("source").withField("pages", F.coalesce("pages", F.lit(0)).cast("int"))
+    source = signal.select("doc_id", "question_id").join(source.select("doc_id", paged.alias("source")), "doc_id")
     settings = {"threshold": threshold, "model": options.get("model", DEFAULT_MODEL), "batch_size": options.get("size", DIGEST_WINDOW)}
-    return manifest(path, signal_stats(judged, threshold), usage, source, questions, settings), annotation_plan(path)
+    return manifest(path, signal, usage, source, questions, settings), annotation_plan(path)
 
 
 def find_in(
