@@ -784,8 +784,9 @@ def streamed_dirty_paths(spark, sf):
         "doc_id", "question_id", "idx", "page", "heading", "text", F.when(i % 7 == 3, F.lit(float("nan"))).otherwise(F.col("p")).alias("p"),
         F.when(i % 5 == 4, "mystery").otherwise(F.col("role")).alias("role"), "role_p", "confidence", F.lit(1).cast("long").alias("run_id"),
     )
-    for part in (rows.unionByName(rows.where(i < DIGEST_WINDOW)), rows.where(i < DIGEST_WINDOW)):
-        part.write.mode("append").parquet(f"{folder}/judged")
+    copies = F.explode(F.when(i < DIGEST_WINDOW, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    for part in (rows.withColumn("copy", copies).drop("copy"), rows.where(i < DIGEST_WINDOW)):
+        part.write.mode("append").option("compression", "zstd").parquet(f"{folder}/judged")
         drain(S.stream_judgments(spark, f"{folder}/judged", f"{folder}/out"), folder)
     return S.current(spark, f"{folder}/out", "paths").select("doc_id", "question_id", "ord", "idx", "label", "score")
 

@@ -118,3 +118,38 @@ def test_dirty_judgments(spark, tmp_path):
     assert (path.idx, path.score) == (2, 0.8 * 0.9 * 0.8)
     (signal,) = S.current(spark, table, "signal").collect()
     assert (signal.judged_words, signal.signal_words) == (6, 2)
+
+
+def test_items_with_several_texts_in_a_batch(spark, tmp_path):
+    source, table, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    row = lambda idx, text, p, run=1, doc=1, heading="", page=1: (doc, 0, idx, page, heading, text, p, "evidence", 0.5, 0.5, run)
+    first = [row(0, "a b", 0.9), row(0, "z", 0.5), row(0, "z", 0.8), row(1, "c", 0.7), row(1, "c", 0.6), row(2, None, 0.75, heading="c d"), row(2, "c d", 0.9, heading=None),
+             row(None, "e f", 0.8), row(None, "g", 0.7), row(3, "h", 0.7, page=2), row(3, "i", 0.8), row(5, "old", 0.9, run=0), row(5, "older", 0.9, run=0),
+             row(0, "x", 0.9, doc=None), row(0, "y", 0.9, doc=None), row(0, "x", 0.9, run=None), row(0, "y", 0.9, run=None)]
+    sent, found = [], {}
+    for rows in (first, [row(0, "b", 0.85), row(0, "a b c", 0.95), row(1, "c", 0.65), row(1, "c", 0.65)]):
+        sent.append(rows)
+        spark.createDataFrame(rows, S.JUDGED_SCHEMA).repartition(3).write.mode("append").parquet(source)
+        drain(S.stream_judgments(spark, source, table), ck)
+        found = {r.idx: (r.text, r.p, r.heading) for r in S.current(spark, table, "paths").collect()}
+        (signal,) = S.current(spark, table, "signal").collect()
+        if len(sent) == 1:
+            assert found == {0: ("z", 0.8, None), 1: ("c", 0.7, None), 2: (None, 0.75, "c d"), 3: ("h", 0.7, None), None: ("g", 0.7, None)}
+            assert signal.judged_words == 4
+    assert found == {0: ("b", 0.85, None), 1: ("c", 0.65, None), 2: (None, 0.75, "c d"), 3: ("h", 0.7, None), None: ("g", 0.7, None)}
+    assert signal.judged_words == 4
+
+
+def test_judgments_written_without_their_number_of_words(spark, tmp_path):
+    source, table, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    rng = random.Random(3)
+    first = judged_rows(rng, 1, 1, 6)
+    for rows in (first, judged_rows(rng, 1, 1, 4, 4)):
+        spark.createDataFrame(rows, S.JUDGED_SCHEMA).write.mode("append").parquet(source)
+        drain(S.stream_judgments(spark, source, table), ck)
+        if rows is first:
+            at = f"{table}/judged/slot=0/batch_id=0"
+            old = [tuple(r) for r in spark.read.parquet(at).drop("words").collect()]
+            spark.createDataFrame(old, f"{S.JUDGED_SCHEMA}, bucket int").write.mode("overwrite").partitionBy("bucket").parquet(at)
+    (signal,) = S.current(spark, table, "signal").collect()
+    assert signal.judged_words == 8 * 6
